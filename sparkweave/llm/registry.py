@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, toxicity
+from . import language, packing, quality, token_counts, toxicity
 from .common import read_table
 
 
@@ -18,14 +18,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.query(read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_mil": op2_quality_mil,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_language_id": op6_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
