@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, runs, text_bytes
+from .common import CHUNK_BYTES, fold, map_arrow, runs, text_bytes
 from .subwords import words_of
 from .training import Adam
 
@@ -130,7 +130,7 @@ def label_words(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Row and language marginals of every word with letters of the texts, in text order."""
     data, offsets = text_bytes(texts)
     rows, out = [np.zeros(0, np.int64)], [np.zeros((0, len(model.languages)))]
-    for a, b in runs(offsets):
+    for a, b in runs(offsets, CHUNK_BYTES // 2):
         words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], letters_only=True)
         if not len(words.row):
             continue
