@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, packing, quality, quality_rules, token_counts, toxicity
+from . import chat, decontaminate, language, minhash, packing, quality, quality_rules, token_counts, toxicity
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), minhash.Similarity(shingle=3, percent=85))
+
+
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_mil": op2_quality_mil,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
