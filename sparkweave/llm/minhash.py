@@ -13,8 +13,12 @@ from .common import LOWER, Workspace, map_arrow, mix, prefix_hash, runs, span_ha
 from .components import components
 
 PERMUTATIONS = 120
-#: Buckets up to this many members are compared pair by pair in a join; larger ones in blocks of so many.
+#: Buckets up to this many members are compared pair by pair in a join, larger ones in blocks of about BLOCK members.
 SMALL = 32
+BLOCK = 512
+#: Members of a large bucket that all others are compared with first, and how often that is done, with others each time.
+GUIDES = 16
+GUIDE_ROUNDS = 1
 _rng = np.random.default_rng(1017)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -166,9 +170,9 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     document's own included, and kept says whether that is its own.
 
     Equal sets are put together first, and one of each goes on. Of the values of each signature, bands make buckets.
-    In a bucket every member is compared with the smallest, which joins most of what belongs together; then, where a
-    bucket still holds several components, members of different ones: pair by pair if they are few, else in blocks, of
-    which only pairs that may be links are given out. A pair is compared by its sketches, and confirmed on its texts.
+    In a bucket every member is compared with the smallest, and in a large one with a few more, which joins most of what
+    belongs together; then, where a bucket still holds several components, members of different ones: pair by pair if
+    they are few, else in blocks, of which only pairs that may be links are given out. A pair is compared by its sketches, and confirmed on its texts.
     Nothing is capped; buckets that hold one component are done. All tables on the way are written to the shared folder.
 
     Null and empty texts, and those without words, have 0 shingles and are linked with nothing. Rows with the same
@@ -225,12 +229,29 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     pairs = labelled(labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
     edges, labels = joined(edges, pairs, "two", labels)
     # what is apart yet among the other members of a bucket
-    rest = labelled(star.where("n > 2 AND rep <> hub").select("k", "n", "rep", "n_shingles"), labels, "rep", "label")
-    mixed = rest.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
-    rest = work.save(rest.join(mixed, "k", "left_semi"), "rest")
+    rest = star.where("n > 2 AND rep <> hub").select("k", "n", "rep", "n_shingles")
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """Members, with their labels, of buckets that hold several."""
+        own = labelled(members, labels, "rep", "label")
+        apart = own.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
+        return work.save(own.join(apart, "k", "left_semi"), "rest")
+
+    near = F.expr(f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {sim.percent}")
+    rest = mixed(rest)
+    for t in range(GUIDE_ROUNDS):
+        # in large buckets, all members and about GUIDES of them
+        many = rest.where(F.col("n") > SMALL).drop("label")
+        if many.isEmpty():
+            break
+        many = labelled(many, labels, "rep", "label")
+        guide = F.pmod(F.hash("rep", F.lit(t)), F.ceil(F.col("n") / GUIDES).cast("int")) == 0
+        pairs = many.alias("x").join(many.where(guide).alias("y"), F.expr("x.k = y.k AND x.label <> y.label") & near)
+        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        edges, labels = joined(edges, pairs, f"guides-{t}", labels)
+    rest = mixed(rest.drop("label"))
     few = rest.where(F.col("n") <= SMALL)
     x, y = few.alias("x"), few.alias("y")
-    near = F.expr(f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {sim.percent}")
     pairs = x.join(y, F.expr("x.k = y.k AND x.rep < y.rep AND x.label <> y.label") & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     pairs = pairs.union(_in_blocks(rest.where(F.col("n") > SMALL), sketches, sim)).distinct()
     edges, labels = joined(edges, pairs, "three", labels)
@@ -245,26 +266,41 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
 def _in_blocks(rest: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs(a, b) of members(k, n, rep, n_shingles, label) of a bucket that are of different labels and may be links.
 
-    A bucket is dealt into blocks of about SMALL members; each pair of blocks is one row, with both blocks' sketches.
+    Those of a bucket's most frequent label need no comparison with each other. They and the others are dealt into
+    blocks of about BLOCK; each block of the others meets each of the first and of its own kind, a row each, with the
+    members' sketches. So what is laid out is in proportion to the bucket where most of it has come together.
     """
-    n = F.ceil(F.col("n") / SMALL).cast("int")
-    own = rest.join(sketches, "rep").select("k", n.alias("blocks"), F.pmod(F.hash("rep"), n).alias("block"), F.struct("rep", "n_shingles", "label", "sketch").alias("m"))
-    cells = own.select("k", "m", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.groupBy("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "m")).alias("members"))
+    counts = rest.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("k").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("first"), F.sum("c").alias("every"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    own = rest.join(main, "k").join(sketches, "rep").select("k", (F.col("label") == F.col("main")).alias("first"), blocks(F.col("first")).alias("nf"), F.greatest(blocks(F.col("every") - F.col("first")), F.lit(1)).alias("no"), F.struct("rep", "n_shingles", "label", "sketch").alias("m"))
+    at = F.pmod(F.hash("m.rep"), F.when(F.col("first"), F.col("nf")).otherwise(F.col("no")))
+    own = own.withColumn("block", at)
+    # cells: (block of others, kind of the second side, its block)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    firsts = own.where("first").select("k", "m", F.explode(upto(F.col("no"))).alias("i"), F.lit(True).alias("kind"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    others = own.where("NOT first").select("k", "m", F.col("block").alias("i"), F.lit(True).alias("kind"), F.explode(upto(F.col("nf"))).alias("j"), F.lit(0).alias("side"))
+    among = own.where("NOT first").select("k", "m", "block", F.explode(upto(F.col("no"))).alias("o"))
+    among = among.select("k", "m", F.least("block", "o").alias("i"), F.lit(False).alias("kind"), F.greatest("block", "o").alias("j"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"))
+    cells = firsts.unionByName(others).unionByName(among).groupBy("k", "i", "kind", "j").agg(F.collect_list(F.struct("side", "m")).alias("members"))
     least = sim.agreement * 2 * PERMUTATIONS
 
     def body(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            sides = [[x["m"] for x in members if x["block"] == s] for s in (i, j)]
-            (p, q) = ({f: np.array([x[f] for x in s], np.int64) for f in ("rep", "n_shingles", "label")} for s in sides)
-            u, v = (np.frombuffer(b"".join(x["sketch"] for x in s), np.uint8).reshape(-1, 2 * PERMUTATIONS) for s in sides)
-            for r in range(len(u)):
-                ok = ((v == u[r]).sum(1) >= least) & (q["label"] != p["label"][r]) & (np.minimum(q["n_shingles"], p["n_shingles"][r]) * 100 >= np.maximum(q["n_shingles"], p["n_shingles"][r]) * sim.percent)
-                ok &= q["rep"] > p["rep"][r] if i == j else True
-                other = q["rep"][ok]
-                a.append(np.minimum(other, p["rep"][r]))
-                b.append(np.maximum(other, p["rep"][r]))
+        lists, alone = batch.column(1), batch.column(0).to_pylist()
+        flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        m = flat.field("m")
+        side, rep, size, label = (x.to_numpy(zero_copy_only=False) for x in (flat.field("side"), m.field("rep"), m.field("n_shingles"), m.field("label")))
+        sketch = text_bytes(m.field("sketch"))[0].reshape(-1, 2 * PERMUTATIONS)
+        for i, one in enumerate(alone):
+            at = np.arange(bounds[i], bounds[i + 1])
+            p, q = (at, at) if one else (at[side[at] == 0], at[side[at] == 1])
+            for r in p:
+                ok = q[(label[q] != label[r]) & (np.minimum(size[q], size[r]) * 100 >= np.maximum(size[q], size[r]) * sim.percent)]
+                other = rep[ok[(sketch[ok] == sketch[r]).sum(1) >= least]]
+                a.append(np.minimum(other, rep[r]))
+                b.append(np.maximum(other, rep[r]))
         return pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return map_arrow(cells.select("i", "j", "members"), body, "a long, b long")
+    return map_arrow(cells.select((~F.col("kind") & (F.col("i") == F.col("j"))).alias("alone"), "members"), body, "a long, b long")
