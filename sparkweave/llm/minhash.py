@@ -13,12 +13,9 @@ from .common import LOWER, Workspace, map_arrow, mix, prefix_hash, runs, span_ha
 from .components import components
 
 PERMUTATIONS = 120
-#: Buckets up to this many members are compared pair by pair in a join, larger ones in blocks of about BLOCK members.
+#: Buckets up to this many members are compared pair by pair in a join, larger ones in blocks of about BLOCK shingles.
 SMALL = 32
-BLOCK = 512
-#: Members of a large bucket that all others are compared with first, and how often that is done, with others each time.
-GUIDES = 16
-GUIDE_ROUNDS = 1
+BLOCK = 200_000
 _rng = np.random.default_rng(1017)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -170,9 +167,9 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     document's own included, and kept says whether that is its own.
 
     Equal sets are put together first, and one of each goes on. Of the values of each signature, bands make buckets.
-    In a bucket every member is compared with the smallest, and in a large one with a few more, which joins most of what
-    belongs together; then, where a bucket still holds several components, members of different ones: pair by pair if
-    they are few, else in blocks, of which only pairs that may be links are given out. A pair is compared by its sketches, and confirmed on its texts.
+    In a bucket every member is compared with the smallest, which joins most of what belongs together; then, where a
+    bucket still holds several components, members of different ones: pair by pair if they are few, else in blocks, of
+    which only links are given out. A pair is compared by its sketches, and confirmed on its texts.
     Nothing is capped; buckets that hold one component are done. All tables on the way are written to the shared folder.
 
     Null and empty texts, and those without words, have 0 shingles and are linked with nothing. Rows with the same
@@ -212,49 +209,22 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     edges = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     edges = work.save(edges, "edges")
 
-    def joined(old: DataFrame, pairs: DataFrame, name: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The links with those confirmed of pairs, and the labels by them; known: the labels by the old links."""
-        fitting = work.save(fits(pairs), f"{name}-pairs")
-        found = work.save(_confirmed(fitting, texts, sim), f"{name}-links")
-        if known is not None and found.isEmpty():
-            return old, known
-        every = old.union(found)
-        return every, work.save(components(every, work, f"{name}-rounds"), f"{name}-labels")
-
-    # every member and the smallest of the smallest in its buckets
-    first = work.save(star.where("rep <> hub").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "first")
-    edges, labels = joined(edges, first, "one")
-    # every member and the smallest of each bucket, where those are apart yet
-    pairs = star.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    pairs = labelled(labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    edges, labels = joined(edges, pairs, "two", labels)
+    # every member and the smallest of each of its buckets
+    pairs = star.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links = work.save(_confirmed(work.save(fits(pairs), "pairs"), texts, sim), "links")
+    edges = edges.union(links)
+    labels = work.save(components(edges, work, "rounds"), "labels")
     # what is apart yet among the other members of a bucket
-    rest = star.where("n > 2 AND rep <> hub").select("k", "n", "rep", "n_shingles")
-
-    def mixed(members: DataFrame) -> DataFrame:
-        """Members, with their labels, of buckets that hold several."""
-        own = labelled(members, labels, "rep", "label")
-        apart = own.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
-        return work.save(own.join(apart, "k", "left_semi"), "rest")
-
-    near = F.expr(f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {sim.percent}")
-    rest = mixed(rest)
-    for t in range(GUIDE_ROUNDS):
-        # in large buckets, all members and about GUIDES of them
-        many = rest.where(F.col("n") > SMALL).drop("label")
-        if many.isEmpty():
-            break
-        many = labelled(many, labels, "rep", "label")
-        guide = F.pmod(F.hash("rep", F.lit(t)), F.ceil(F.col("n") / GUIDES).cast("int")) == 0
-        pairs = many.alias("x").join(many.where(guide).alias("y"), F.expr("x.k = y.k AND x.label <> y.label") & near)
-        pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        edges, labels = joined(edges, pairs, f"guides-{t}", labels)
-    rest = mixed(rest.drop("label"))
+    rest = labelled(star.where("n > 2 AND rep <> hub").select("k", "n", "rep", "n_shingles"), labels, "rep", "label")
+    apart = rest.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
+    rest = work.save(rest.join(apart, "k", "left_semi"), "rest")
     few = rest.where(F.col("n") <= SMALL)
-    x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, F.expr("x.k = y.k AND x.rep < y.rep AND x.label <> y.label") & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    pairs = pairs.union(_in_blocks(rest.where(F.col("n") > SMALL), sketches, sim)).distinct()
-    edges, labels = joined(edges, pairs, "three", labels)
+    near = F.expr(f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {sim.percent}")
+    pairs = few.alias("x").join(few.alias("y"), F.expr("x.k = y.k AND x.rep < y.rep AND x.label <> y.label") & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    links = _confirmed(work.save(fits(pairs), "pairs"), texts, sim).union(_in_blocks(rest.where(F.col("n") > SMALL), texts, sim))
+    links = work.save(links, "links")
+    if not links.isEmpty():
+        labels = work.save(components(edges.union(links), work, "rounds"), "labels")
 
     out = labelled(member.select("doc_id", "n_shingles", "rep"), labels, "rep", "component_id").select("doc_id", "n_shingles", "component_id")
     bare = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -263,44 +233,59 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     return out
 
 
-def _in_blocks(rest: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs(a, b) of members(k, n, rep, n_shingles, label) of a bucket that are of different labels and may be links.
+def _in_blocks(rest: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+    """Links(a, b) between members(k, rep, n_shingles, label) of a bucket that are of different labels.
 
-    Those of a bucket's most frequent label need no comparison with each other. They and the others are dealt into
-    blocks of about BLOCK; each block of the others meets each of the first and of its own kind, a row each, with the
-    members' sketches. So what is laid out is in proportion to the bucket where most of it has come together.
+    Buckets of copies of one text mostly hold the same members, and have the same most frequent label; buckets with that
+    in common are taken as one family, so that its members are compared once. Those of that label need no comparison
+    with each other. They and the others are dealt into blocks of about BLOCK shingles; each block of the others meets
+    each of the first, and of its own kind, in one row, where the full sets are compared by an index of their shingles.
+    Only links are given out, for each member one to every other label.
     """
     counts = rest.groupBy("k", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("k").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("first"), F.sum("c").alias("every"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    own = rest.join(main, "k").join(sketches, "rep").select("k", (F.col("label") == F.col("main")).alias("first"), blocks(F.col("first")).alias("nf"), F.greatest(blocks(F.col("every") - F.col("first")), F.lit(1)).alias("no"), F.struct("rep", "n_shingles", "label", "sketch").alias("m"))
-    at = F.pmod(F.hash("m.rep"), F.when(F.col("first"), F.col("nf")).otherwise(F.col("no")))
-    own = own.withColumn("block", at)
-    # cells: (block of others, kind of the second side, its block)
+    main = counts.groupBy("k").agg(F.max_by("label", F.struct("c", "label")).alias("family"))
+    own = rest.join(main, "k").select("family", "rep", "n_shingles", "label").distinct().withColumn("first", F.col("label") == F.col("family"))
+    size = own.groupBy("family").agg(*[F.greatest(F.ceil(F.coalesce(F.sum(F.when(F.col("first") == side, F.col("n_shingles"))), F.lit(0)) / BLOCK), F.lit(1)).cast("int").alias(name) for side, name in ((F.lit(True), "nf"), (F.lit(False), "no"))])
+    own = own.join(size, "family").withColumn("block", F.pmod(F.hash("rep"), F.when(F.col("first"), F.col("nf")).otherwise(F.col("no"))))
+    own = own.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").withColumn("m", F.struct("rep", "label", "text"))
+    # cells: a block of others, the kind of the second side, and its block
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    firsts = own.where("first").select("k", "m", F.explode(upto(F.col("no"))).alias("i"), F.lit(True).alias("kind"), F.col("block").alias("j"), F.lit(1).alias("side"))
-    others = own.where("NOT first").select("k", "m", F.col("block").alias("i"), F.lit(True).alias("kind"), F.explode(upto(F.col("nf"))).alias("j"), F.lit(0).alias("side"))
-    among = own.where("NOT first").select("k", "m", "block", F.explode(upto(F.col("no"))).alias("o"))
-    among = among.select("k", "m", F.least("block", "o").alias("i"), F.lit(False).alias("kind"), F.greatest("block", "o").alias("j"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"))
-    cells = firsts.unionByName(others).unionByName(among).groupBy("k", "i", "kind", "j").agg(F.collect_list(F.struct("side", "m")).alias("members"))
-    least = sim.agreement * 2 * PERMUTATIONS
+    firsts = own.where("first").select("family", "m", F.explode(upto(F.col("no"))).alias("i"), F.lit(True).alias("kind"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    others = own.where("NOT first").select("family", "m", F.col("block").alias("i"), F.lit(True).alias("kind"), F.explode(upto(F.col("nf"))).alias("j"), F.lit(0).alias("side"))
+    among = own.where("NOT first").select("family", "m", "block", F.explode(upto(F.col("no"))).alias("o"))
+    among = among.select("family", "m", F.least("block", "o").alias("i"), F.lit(False).alias("kind"), F.greatest("block", "o").alias("j"), F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"))
+    cells = firsts.unionByName(others).unionByName(among).groupBy("family", "i", "kind", "j").agg(F.collect_list(F.struct("side", "m")).alias("members"))
 
     def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b = [], []
         lists, alone = batch.column(1), batch.column(0).to_pylist()
-        flat, bounds = lists.flatten(), lists.offsets.to_numpy()
-        bounds = bounds - bounds[0]
+        flat, cuts = lists.flatten(), lists.offsets.to_numpy()
+        cuts = cuts - cuts[0]
         m = flat.field("m")
-        side, rep, size, label = (x.to_numpy(zero_copy_only=False) for x in (flat.field("side"), m.field("rep"), m.field("n_shingles"), m.field("label")))
-        sketch = text_bytes(m.field("sketch"))[0].reshape(-1, 2 * PERMUTATIONS)
-        for i, one in enumerate(alone):
-            at = np.arange(bounds[i], bounds[i + 1])
-            p, q = (at, at) if one else (at[side[at] == 0], at[side[at] == 1])
-            for r in p:
-                ok = q[(label[q] != label[r]) & (np.minimum(size[q], size[r]) * 100 >= np.maximum(size[q], size[r]) * sim.percent)]
-                other = rep[ok[(sketch[ok] == sketch[r]).sum(1) >= least]]
-                a.append(np.minimum(other, rep[r]))
-                b.append(np.maximum(other, rep[r]))
-        return pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
+        side, rep, label = (x.to_numpy(zero_copy_only=False) for x in (flat.field("side"), m.field("rep"), m.field("label")))
+        data, offsets = text_bytes(m.field("text"))
+        for c, one in enumerate(alone):
+            x, y = int(cuts[c]), int(cuts[c + 1])
+            h, bounds = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], sim.shingle)
+            sizes = np.diff(bounds)
+            at = np.arange(y - x)
+            p, q = (at, at) if one else (at[side[x:y] == 0], at[side[x:y] == 1])
+            # an index of the second side: its shingles in order, and whose they are
+            held = np.concatenate([h[bounds[i] : bounds[i + 1]] for i in q]) if len(q) else h[:0]
+            whose = np.repeat(np.arange(len(q)), sizes[q])
+            order = np.argsort(held, kind="stable")
+            held, whose = held[order], whose[order]
+            for i in p:
+                own_set = h[bounds[i] : bounds[i + 1]]
+                low, high = np.searchsorted(held, own_set, "left"), np.searchsorted(held, own_set, "right")
+                n = high - low
+                spots = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(whose[spots], minlength=len(q))
+                good = (100 * shared >= sim.percent * (sizes[q] + sizes[i] - shared)) & (label[x + q] != label[x + i])
+                if good.any():
+                    _, once = np.unique(label[x + q[good]], return_index=True)
+                    b += rep[x + q[good][once]].tolist()
+                    a += [int(rep[x + i])] * len(once)
+        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return map_arrow(cells.select((~F.col("kind") & (F.col("i") == F.col("j"))).alias("alone"), "members"), body, "a long, b long")
