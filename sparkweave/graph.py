@@ -68,7 +68,8 @@ class Graph:
         if self.direction == "undirected":
             raise NotDirectedError("an undirected view has no reverse")
         turned = [F.col("dst").alias("src") if c == "src" else F.col("src").alias("dst") if c == "dst" else F.col(c) for c in self.edges.columns]
-        return replace(self, edges=self.edges.select(*turned), direction="directed" if self.direction == "reversed" else "reversed")
+        entries = None if self.entries is None else self.entries.select(*turned)
+        return replace(self, edges=self.edges.select(*turned), entries=entries, direction="directed" if self.direction == "reversed" else "reversed")
 
     def filtered(self, vertex: Column | None = None, edge: Column | None = None) -> Graph:
         """Vertices and edges for which the predicates hold, without edges that lose an end. Bounds stay."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ from .operators import components as K
 from .operators import degree as G
 from .operators import topology as T
 from .operators import traversal as V
+from .plans.superstep import shared_dir
+from .sources import binary, dot, edgelist, graphml
+from .sources.document import from_graph, read_graph, write_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -414,3 +418,44 @@ def conversions(spark, sf_dir):
         convert(k, Kind.INT64, Kind.DOUBLE).alias("as_double"),
         convert(text, Kind.STRING, Kind.INT64).alias("parsed"),
     )
+
+
+# ---- file formats
+
+
+@query(f"WITH {GEO} SELECT edge_id, src, dst FROM (SELECT dst AS edge_id, src, dst FROM e)")
+def edge_list_round_trip(spark, sf_dir):
+    """Written as delimited text, and read again in parallel; in a forest an edge goes by its target."""
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    edgelist.write(D.geo(spark, sf_dir).edges, path)
+    return edgelist.read_plain(spark, path).select(F.col("dst").alias("edge_id"), "src", "dst")
+
+
+def _file_round_trip(spark, sf_dir, module) -> DataFrame:
+    """The edges of a sample of user_seq's, written to a file of the format and read by a task, as (src, dst, weight)."""
+    g = D.user_seq(spark, sf_dir).filtered(edge=F.col("edge_id") % 41 == 0).compact_edges()
+    g = Graph(g.slots(), g.edges, g.vertex_bound, g.edge_bound)
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    write_bytes(spark, path, module.render(from_graph(g)))
+    found = read_graph(spark, path, module.parse)
+    weight = F.col("weight").cast("double") if dict(found.edges.dtypes)["weight"] == "string" else F.col("weight")
+    return found.edges.select("src", "dst", weight.alias("weight"))
+
+
+SAMPLE = f"WITH {SEQ} SELECT src, dst, weight FROM e WHERE edge_id % 41 = 0"
+
+
+@query(SAMPLE)
+def binary_round_trip(spark, sf_dir):
+    return _file_round_trip(spark, sf_dir, binary)
+
+
+@query(SAMPLE)
+def graphml_round_trip(spark, sf_dir):
+    return _file_round_trip(spark, sf_dir, graphml)
+
+
+@query(f"WITH {SEQ}, n AS (SELECT id, row_number() OVER (ORDER BY id::VARCHAR) - 1 AS k FROM slots) SELECT a.k AS src, b.k AS dst, weight FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE edge_id % 41 = 0")
+def dot_round_trip(spark, sf_dir):
+    """DOT numbers vertices anew, by their names."""
+    return _file_round_trip(spark, sf_dir, dot)
