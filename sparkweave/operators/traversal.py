@@ -22,7 +22,7 @@ def bfs(g: Graph, sources: list[int] | DataFrame, prune_vertex: Column | None =
     if not isinstance(sources, DataFrame) and any(s < 0 or s >= g.vertex_bound for s in sources):
         raise GraphError("no such vertex")
     loop = Loop(spark)
-    along = g.out(g.edges if g.entries is None else _entered(g))
+    along = g.out() if g.entries is None else _entered(g)
     if prune_edge is not None:
         along = along.where(~prune_edge)
     along = loop.fixed(along.select("v", "other").distinct(), "out")
@@ -42,13 +42,8 @@ def bfs(g: Graph, sources: list[int] | DataFrame, prune_vertex: Column | None =
 
 
 def _entered(g: Graph) -> DataFrame:
-    """Edges of a filtered view, and those that lead from a vertex taken away to one that stays; such a vertex is never reached again."""
-    ends = g.vertices.select("id")
-    into = g.entries.join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*g.entries.columns)
-    if g.direction != "undirected":
-        return into
-    back = g.entries.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").select(*g.entries.columns)
-    return into.unionByName(back).dropDuplicates(["edge_id"])
+    """Incidences of a filtered view whose far end stays: one may start from a vertex taken away, and never reaches one."""
+    return g.out(g.entries).join(g.vertices.select(F.col("id").alias("other")), "other", "left_semi")
 
 
 def shortest_distances(g: Graph, source: int) -> DataFrame:
