@@ -15,7 +15,7 @@ LENGTHS = (4, 5)
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 #: Labelled rows of each class that the model learns from, at most.
-PER_CLASS = 2500
+PER_CLASS = 2000
 STEPS = 240
 #: Texts of the sample that a subword must occur in to count.
 MIN_TEXTS = 5
@@ -42,8 +42,8 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key = np.repeat(row, size) * BUCKETS + bucket[at]
         key, back = np.unique(key, return_inverse=True)
         weight = np.bincount(back, np.repeat(count * share[word] / (n_words[row] + PADDING), size), len(key))
-        out.append((key // BUCKETS + a, key % BUCKETS, weight))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        out.append(((key // BUCKETS + a).astype(np.int32), (key % BUCKETS).astype(np.int32), weight.astype(np.float32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
 def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, seed: int = 3, rate: float = 0.2) -> dict[str, np.ndarray]:
@@ -56,7 +56,9 @@ def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, seed: int = 3
     row, bucket, weight = bags(texts)
     known = np.bincount(bucket, minlength=BUCKETS) >= MIN_TEXTS
     model["E"][~known] = 0  # a subword that was hardly seen says nothing
-    row, bucket, weight = row[known[bucket]], bucket[known[bucket]], weight[known[bucket]].astype(np.float32)
+    keep = known[bucket]
+    row, bucket, weight = row[keep], bucket[keep], weight[keep]
+    del keep
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
     truth = np.eye(2)[labels]
