@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import lbinom, lgamma1p, safelog
@@ -123,12 +123,12 @@ def uniform(*keys) -> Column:
     return (F.pmod(F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys]), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def accepted(ds: Column, log_hastings: Column, beta: float, draw: Column) -> Column:
+def accepted(ds: float, log_hastings: float, beta: float, draw: float) -> bool:
     """Metropolis' rule; at an infinite beta only what lowers the entropy."""
     if math.isinf(beta):
         return ds < 0
     a = -ds * beta + log_hastings
-    return (a > 0) | (draw < F.exp(F.least(a, F.lit(0.0))))
+    return a > 0 or draw < math.exp(a)
 
 
 @dataclass(frozen=True)
@@ -139,28 +139,98 @@ class SweepResult:
     n_moves: int
 
 
+class _Blocks:
+    """A partition's groups as a sweep changes them: edges between groups, edge ends and vertices of each."""
+
+    def __init__(self, g: Graph, partition: DataFrame, deg_corr: bool):
+        self.directed, self.deg_corr = g.direction != "undirected", deg_corr
+        pairs = pair_counts(g, partition)
+        self.m = {(r.r, r.s): r.m for r in pairs.toLocalIterator()}
+        self.totals = {r.grp: (r.wr, r.mrp, r.mrm) for r in group_totals(g, partition, pairs).toLocalIterator()}
+
+    def _pair(self, r: int, s: int) -> tuple[int, int]:
+        return (r, s) if self.directed or r <= s else (s, r)
+
+    def _pair_term(self, p: tuple[int, int], m: int) -> float:
+        return -math.lgamma(m + 1) - (m * math.log(2) if not self.directed and p[0] == p[1] else 0.0)
+
+    def _group_term(self, wr: int, mrp: int, mrm: int) -> float:
+        if self.deg_corr:
+            return math.lgamma(mrp + 1) + math.lgamma(mrm + 1)
+        return (mrp + mrm) * (math.log(wr) if wr else 0.0)
+
+    def price(self, old: int, new: int, weight: int, out: dict[int, int], into: dict[int, int], loops: int) -> tuple[float, dict, dict]:
+        """The change of entropy if a vertex goes from old to new, and what changes; out and into: its edges by the other end's group, loops apart."""
+        delta: dict[tuple[int, int], int] = {}
+        for grp, sign in ((old, -1), (new, 1)):
+            for x, k in out.items():
+                p = self._pair(grp, x)
+                delta[p] = delta.get(p, 0) + sign * k
+            for x, k in into.items():
+                p = self._pair(x, grp)
+                delta[p] = delta.get(p, 0) + sign * k
+            if loops:
+                delta[grp, grp] = delta.get((grp, grp), 0) + sign * loops
+        ahead, back = sum(out.values()) + loops, sum(into.values()) + loops
+        ends = (ahead, back) if self.directed else (ahead + back, 0)
+        groups = {}
+        for grp, sign in ((old, -1), (new, 1)):
+            wr, mrp, mrm = self.totals.get(grp, (0, 0, 0))
+            groups[grp] = (wr + sign * weight, mrp + sign * ends[0], mrm + sign * ends[1])
+        after = {p: self.m.get(p, 0) + d for p, d in delta.items() if d}
+        ds = sum(self._pair_term(p, m) - self._pair_term(p, self.m.get(p, 0)) for p, m in after.items())
+        ds += sum(self._group_term(*t) - self._group_term(*self.totals.get(grp, (0, 0, 0))) for grp, t in groups.items())
+        return ds, after, groups
+
+    def perform(self, after: dict, groups: dict) -> None:
+        self.m.update(after)
+        self.totals.update(groups)
+
+
 def sweep(g: Graph, partition: DataFrame, n_groups: int, beta: float = 1.0, n_iter: int = 1, seed: int = 0, deg_corr: bool = True) -> SweepResult:
-    """Sweeps in which every vertex is proposed a group drawn evenly, and moves that can't meet are made together.
+    """Sweeps in which every vertex, in a drawn order, is proposed a group drawn evenly.
 
-    Of the accepted moves those stand that, for both groups and all groups of neighbours they touch, come first by a
-    draw: their prices then add up exactly. Draws depend on seed, sweep and vertex alone.
+    Each move is priced and decided against the partition that the moves before it left, and every accepted move is
+    made. That is a sequence: vertices come to the driver in order, a partition at a time, with their edges put together
+    by neighbour; the driver holds each vertex's group and the counts of the groups, never all edges. Draws depend on
+    seed, sweep and vertex alone.
     """
     spark = g.vertices.sparkSession
     loop = Loop(spark)
     state = loop.step(partition)
+    ids = state.select("id")
+    edges = g.edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other"), one.alias("p"), none.alias("q")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other"), none.alias("p"), one.alias("q")))).alias("i")).select("i.*")
+    near = ends.groupBy("id", "other").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).groupBy("id").agg(F.collect_list(F.struct("other", "p", "q")).alias("near"))
+    weight = F.col("vweight").cast("long") if "vweight" in partition.columns else one
+    near = loop.fixed(state.select("id", weight.alias("weight")).join(near, "id", "left"), "near")
+    blocks = _Blocks(g, state, deg_corr)
+    grp = {r.id: r.grp for r in state.select("id", "grp").toLocalIterator()}
     total, tried, made = 0.0, 0, 0
     for t in range(n_iter):
-        moves = state.select(F.col("id").alias("move_id"), "id", F.floor(uniform(seed, t, F.col("id"), 1) * n_groups).cast("long").alias("to"), "grp").where("to <> grp").select("move_id", "id", "to")
-        moves = loop.fixed(moves, f"moves-{t}")
-        prices = loop.fixed(move_prices(g, state, moves, deg_corr), f"prices-{t}")
-        yes = prices.where(accepted(F.col("ds"), F.lit(0.0), beta, uniform(seed, t, F.col("move_id"), 2)))
-        touched = move_deltas(g, state, moves).select("move_id", F.explode(F.array("r", "s")).alias("grp"))
-        ends = moves.join(state, "id").select("move_id", F.explode(F.array("to", "grp")).alias("grp"))
-        claims = touched.union(ends).distinct().join(yes.select("move_id"), "move_id")
-        rank = F.row_number().over(Window.partitionBy("grp").orderBy(uniform(seed, t, F.col("move_id"), 3), "move_id"))
-        stands = claims.select("move_id", (rank > 1).cast("int").alias("late")).groupBy("move_id").agg(F.max("late").alias("late")).where("late = 0").select("move_id")
-        stands = loop.fixed(stands.join(prices, "move_id").join(moves.select("move_id", "to"), "move_id"), f"stands-{t}")
-        row = stands.agg(F.count(F.lit(1)), F.coalesce(F.sum("ds"), F.lit(0.0))).first()
-        tried, made, total = tried + moves.count(), made + row[0], total + row[1]
-        state = loop.step(state.join(stands.select(F.col("move_id").alias("id"), "to"), "id", "left").select(*[F.coalesce("to", "grp").alias("grp") if c == "grp" else c for c in partition.columns]))
+        key = F.col("id")
+        turns = near.select("id", "weight", "near", F.floor(uniform(seed, t, key, 1) * n_groups).cast("long").alias("to"), uniform(seed, t, key, 2).alias("draw"), uniform(seed, t, key, 3).alias("turn"))
+        for r in turns.orderBy("turn", "id").toLocalIterator():
+            old = grp[r.id]
+            if r.to == old:
+                continue
+            tried += 1
+            out, into, loops = {}, {}, 0
+            for other, p, q in r.near or []:
+                if other == r.id:
+                    loops = p
+                    continue
+                x = grp[other]
+                if p:
+                    out[x] = out.get(x, 0) + p
+                if q:
+                    into[x] = into.get(x, 0) + q
+            ds, after, groups = blocks.price(old, r.to, r.weight, out, into, loops)
+            if accepted(ds, 0.0, beta, r.draw):
+                blocks.perform(after, groups)
+                grp[r.id] = r.to
+                total, made = total + ds, made + 1
+    found = spark.createDataFrame(list(grp.items()), "id long, now long")
+    state = loop.fixed(state.join(found, "id").select(*[F.col("now").alias("grp") if c == "grp" else c for c in partition.columns]), "found")
     return SweepResult(state, total, tried, made)
