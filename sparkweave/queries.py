@@ -403,6 +403,41 @@ def sbm_move_prices_undirected(spark, sf_dir):
     return rounded(B.move_prices(g, D.blocks(g), _moves(g)), "ds", digits=5).withColumn("ds", F.col("ds") + F.lit(0.0))
 
 
+def _changed_pairs_sql(edges: str, directed: bool) -> str:
+    """The price of a move of every vertex, from the pairs of groups that it changes and the edge ends of its two groups."""
+    pair = "r, s" if directed else "least(r, s) AS r, greatest(r, s) AS s"
+    loops = "" if directed else " - CASE WHEN r = s THEN d * ln(2) ELSE 0 END"
+    after = "lgamma(mrp + a + 1) + lgamma(mrm + z + 1) - lgamma(mrp + 1) - lgamma(mrm + 1)" if directed else "lgamma(mrp + a + z + 1) - lgamma(mrp + 1)"
+    return f"""WITH {edges}, {SBM if directed else UND}, moves AS (SELECT id AS k, grp AS f, (id + 3) % 8 AS g FROM b),
+inc AS (SELECT src AS k, dst % 8 AS x, true AS ahead, count(*) AS c FROM e WHERE src <> dst GROUP BY 1, 2 UNION ALL SELECT dst, src % 8, false, count(*) FROM e WHERE src <> dst GROUP BY 1, 2), loops AS (SELECT src AS k, count(*) AS c FROM e WHERE src = dst GROUP BY 1),
+ways AS (SELECT k, f AS own, -1 AS sign FROM moves UNION ALL SELECT k, g, 1 FROM moves),
+steps AS (SELECT k, CASE WHEN ahead THEN own ELSE x END AS r, CASE WHEN ahead THEN x ELSE own END AS s, sign * c AS d FROM ways JOIN inc USING (k) UNION ALL SELECT k, own, own, sign * c FROM ways JOIN loops USING (k)),
+d AS (SELECT k, r, s, sum(d) AS d FROM (SELECT k, {pair}, d FROM steps) GROUP BY ALL),
+p AS (SELECT k, sum(lgamma(coalesce(m, 0) + 1) - lgamma(coalesce(m, 0) + d + 1){loops}) AS p FROM d LEFT JOIN m USING (r, s) GROUP BY k),
+o AS (SELECT src AS k, count(*) AS o FROM e GROUP BY 1), i AS (SELECT dst AS k, count(*) AS i FROM e GROUP BY 1),
+y AS (SELECT k, own, sign * coalesce(o, 0) AS a, sign * coalesce(i, 0) AS z FROM ways LEFT JOIN o USING (k) LEFT JOIN i USING (k)),
+h AS (SELECT k, sum({after}) AS h FROM (SELECT k, a, z, coalesce(mrp, 0) AS mrp, coalesce(mrm, 0) AS mrm FROM y LEFT JOIN t ON t.grp = own) GROUP BY k)
+SELECT k AS move_id, round(coalesce(p, 0) + h, 5) + 0.0 AS ds FROM h LEFT JOIN p USING (k)"""
+
+
+def _every_move(g: Graph) -> DataFrame:
+    return g.vertices.select(F.col("id").alias("move_id"), "id", ((F.col("id") + 3) % 8).alias("to"))
+
+
+@query(_changed_pairs_sql(SEQ, True))
+def sbm_move_prices_whole(spark, sf_dir):
+    """A move of every vertex; sbm_move_prices has those of 12 at most."""
+    g = D.user_seq(spark, sf_dir)
+    return rounded(B.move_prices(g, D.blocks(g), _every_move(g)), "ds", digits=5).withColumn("ds", F.col("ds") + F.lit(0.0))
+
+
+@query(_changed_pairs_sql(SEQ, False))
+def sbm_move_prices_undirected_whole(spark, sf_dir):
+    """A move of every vertex; sbm_move_prices_undirected has those of 12 at most."""
+    g = D.user_seq(spark, sf_dir).undirected()
+    return rounded(B.move_prices(g, D.blocks(g), _every_move(g)), "ds", digits=5).withColumn("ds", F.col("ds") + F.lit(0.0))
+
+
 @query()
 def sbm_sweep(spark, sf_dir):
     g = D.user_seq(spark, sf_dir)

@@ -1,6 +1,7 @@
 """Registered graph queries over whole small tables, against plain Python."""
 
 import datetime
+import math
 import random
 from collections import Counter
 
@@ -83,3 +84,20 @@ def test_is_dag_takes_every_edge(spark, walk, monkeypatch):
     monkeypatch.setattr(queries.T, "is_dag", lambda g: counts.append(g.num_edges()) or True)
     QUERIES["is_dag"](spark, folder)
     assert counts == [sum(a < b for a, b in edges)] * 2 + [len(edges)]
+
+
+@pytest.mark.parametrize("undirected", [False, True])
+def test_moves_of_every_vertex_are_priced(spark, walk, undirected):
+    """By two entropies in plain Python each."""
+    folder, edges = walk
+
+    def entropy(b):
+        pairs = Counter(tuple(sorted((b[x], b[y]))) if undirected else (b[x], b[y]) for x, y in edges)
+        out, into = Counter(b[x] for x, _ in edges), Counter(b[y] for _, y in edges)
+        ends = [out + into] if undirected else [out, into]
+        loops = sum(k * math.log(2) for (r, s), k in pairs.items() if r == s) if undirected else 0
+        return sum(math.lgamma(k + 1) for c in ends for k in c.values()) - sum(math.lgamma(k + 1) for k in pairs.values()) - loops
+
+    b = {i: i % 8 for i in range(USERS + 1)}
+    found = {r.move_id: r.ds for r in QUERIES["sbm_move_prices_undirected_whole" if undirected else "sbm_move_prices_whole"](spark, folder).collect()}
+    assert found == pytest.approx({i: entropy(b | {i: (i + 3) % 8}) - entropy(b) for i in b}, abs=2e-5)
