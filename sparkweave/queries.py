@@ -481,9 +481,10 @@ def edge_list_round_trip(spark, sf_dir):
     return edgelist.read_plain(spark, path).select(F.col("dst").alias("edge_id"), "src", "dst")
 
 
-def _file_round_trip(spark, sf_dir, module) -> DataFrame:
-    """The edges of a sample of user_seq's, written to a file of the format and read by a task, as (src, dst, weight)."""
-    g = D.user_seq(spark, sf_dir).filtered(edge=F.col("edge_id") % 41 == 0).compact_edges()
+def _file_round_trip(spark, sf_dir, module, whole: bool = False) -> DataFrame:
+    """The edges of user_seq, or of a sample of them, written to a file of the format and read by a task, as (src, dst, weight)."""
+    g = D.user_seq(spark, sf_dir)
+    g = g if whole else g.filtered(edge=F.col("edge_id") % 41 == 0).compact_edges()
     g = Graph(g.slots(), g.edges, g.vertex_bound, g.edge_bound)
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     write_bytes(spark, path, module.render(from_graph(g)))
@@ -509,3 +510,22 @@ def graphml_round_trip(spark, sf_dir):
 def dot_round_trip(spark, sf_dir):
     """DOT numbers vertices anew, by their names."""
     return _file_round_trip(spark, sf_dir, dot)
+
+
+WHOLE = f"WITH {SEQ} SELECT src, dst, weight FROM e"
+
+
+@query(WHOLE)
+def binary_round_trip_whole(spark, sf_dir):
+    return _file_round_trip(spark, sf_dir, binary, whole=True)
+
+
+@query(WHOLE)
+def graphml_round_trip_whole(spark, sf_dir):
+    return _file_round_trip(spark, sf_dir, graphml, whole=True)
+
+
+@query(f"WITH {SEQ}, n AS (SELECT id, row_number() OVER (ORDER BY id::VARCHAR) - 1 AS k FROM slots) SELECT a.k AS src, b.k AS dst, weight FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst")
+def dot_round_trip_whole(spark, sf_dir):
+    """DOT numbers vertices anew, by their names."""
+    return _file_round_trip(spark, sf_dir, dot, whole=True)

@@ -16,13 +16,13 @@ _WORDS = {"strict", "graph", "digraph", "node", "edge", "subgraph"}
 
 def tokens(text: str) -> list[tuple[str, str, int]]:
     """Kind, text and line of every token; quoted texts are joined at +, HTML texts keep their brackets."""
-    out, at = [], 0
+    out, at, line, counted = [], 0, 1, 0
     while True:
         if m := _SPACE.match(text, at):
             at = m.end()
         if at >= len(text):
             return out
-        line = text.count("\n", 0, at) + 1
+        line, counted = line + text.count("\n", counted, at), at
         if text[at] == "<":
             depth, end = 0, at
             while end < len(text):

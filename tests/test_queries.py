@@ -101,3 +101,25 @@ def test_moves_of_every_vertex_are_priced(spark, walk, undirected):
     b = {i: i % 8 for i in range(USERS + 1)}
     found = {r.move_id: r.ds for r in QUERIES["sbm_move_prices_undirected_whole" if undirected else "sbm_move_prices_whole"](spark, folder).collect()}
     assert found == pytest.approx({i: entropy(b | {i: (i + 3) % 8}) - entropy(b) for i in b}, abs=2e-5)
+
+
+@pytest.mark.parametrize("name", ["binary", "graphml", "dot"])
+def test_whole_graphs_are_written_and_read(spark, walk, name):
+    """Vertices are 0 to 9, so that DOT's order by name is that of the ids."""
+    folder, edges = walk
+    found = QUERIES[f"{name}_round_trip_whole"](spark, folder)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, float(k % 5 + 1)) for k, (a, b) in enumerate(edges))
+
+
+def test_dot_takes_time_in_proportion():
+    from sparkweave.sources import dot
+
+    class Text(str):
+        scanned = 0
+
+        def count(self, sub, start=0, end=None):
+            Text.scanned += end - start
+            return super().count(sub, start, end)
+
+    text = Text("digraph G {\n" + "".join(f"  {i} -> {i + 1};\n" for i in range(500)) + "}\n")
+    assert dot.tokens(text)[-1] == ("mark", "}", 502) and Text.scanned <= len(text)
