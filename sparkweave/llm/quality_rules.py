@@ -54,10 +54,15 @@ def _repeat_words(w: Column, h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) < F.size(h), found).otherwise(F.lit(0).cast("long"))
 
 
+def _lines(text: Column) -> Column:
+    """The lines that aren't blank."""
+    return F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACES)) > 0)
+
+
 def base_rules(worded: DataFrame) -> DataFrame:
     """The base columns next to doc_id, text and w."""
     text, w = F.col("text"), F.col("w")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACES)) > 0)
+    lines = _lines(text)
     windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     out = worded.select(
         "*",
@@ -75,7 +80,7 @@ def trusted(worded: DataFrame) -> Column:
     """Documents whose n-grams make up the trusted target: long enough, varied, no symbols, few capitals, no line twice."""
     text, w = F.col("text"), F.col("w")
     n = F.length(text)
-    return (F.size(w) >= 30) & (F.length(_without(text, SYMBOLS)) == n) & (F.length(_without(text, CAPITALS)) * 10 >= n * 8) & (F.size(F.array_distinct(w)) * 10 >= F.size(w) * 4)
+    return (F.size(w) >= 30) & (F.length(_without(text, SYMBOLS)) == n) & (F.length(_without(text, CAPITALS)) * 10 >= n * 8) & (F.size(F.array_distinct(w)) * 10 >= F.size(w) * 4) & (F.size(F.array_distinct(_lines(text))) == F.size(_lines(text)))
 
 
 def _word_bucket(x: Column) -> Column:
