@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SPACE = r"[\x20\x09-\x0D]"
+SYMBOL = r"[#*$%&|<>]"
+CAPITAL = r"[A-Z]"
 WINDOW = 5
 #: Buckets of words, and as many again of pairs of words.
 BUCKETS = 1 << 13
@@ -20,21 +20,22 @@ SCALE = 1_000_000
 SMOOTHING = 0.5
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def words(text: Column) -> Column:
     """The words of a text: what stands between spaces, tabs and line breaks."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
 def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, text (null as empty) and its words."""
-    return docs.select(F.col("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("w", words(F.col("text")))
+    """doc_id, text (null as empty), its words, and their hashes h: each word is hashed once, and all else is made of those."""
+    worded = docs.select(F.col("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("w", words(F.col("text")))
+    return worded.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+
 
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
-def _repeat_words(w: Column, h: Column) -> Column:
+
+def _repeat_words(h: Column) -> Column:
     """Words inside windows that occur twice or more, given the hash of the window that starts at each place.
 
     The places of repeated windows come from sorting (hash, place): equal hashes stand side by side. In order of place,
@@ -56,39 +57,40 @@ def _repeat_words(w: Column, h: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """The lines that aren't blank."""
-    return F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACES)) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
 
 
 def base_rules(worded: DataFrame) -> DataFrame:
-    """The base columns next to doc_id, text and w."""
-    text, w = F.col("text"), F.col("w")
-    lines = _lines(text)
-    windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    """The base columns next to doc_id and h."""
+    text, n = F.col("text"), F.size("w")
+    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     out = worded.select(
-        "*",
-        F.size(w).cast("long").alias("n_words"),
-        F.length(_without(text, SPACES)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-        windows.alias("h"),
+        "doc_id",
+        "h",
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        _count(text, SYMBOL).cast("long").alias("n_symbols"),
+        _lines(text).alias("lines"),
+        windows.alias("windows"),
     )
-    out = out.select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeat_words(w, F.col("h")).cast("long").alias("n_repeat_words"))
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)).drop("lines", "h")
+    out = out.select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeat_words(F.col("windows")).cast("long").alias("n_repeat_words"))
+    return out.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)).drop("lines", "windows")
 
 
 def trusted(worded: DataFrame) -> Column:
     """Documents whose n-grams make up the trusted target: long enough, varied, no symbols, few capitals, no line twice."""
-    text, w = F.col("text"), F.col("w")
+    text, h = F.col("text"), F.col("h")
     n = F.length(text)
-    return (F.size(w) >= 30) & (F.length(_without(text, SYMBOLS)) == n) & (F.length(_without(text, CAPITALS)) * 10 >= n * 8) & (F.size(F.array_distinct(w)) * 10 >= F.size(w) * 4) & (F.size(F.array_distinct(_lines(text))) == F.size(_lines(text)))
-
-
-def _word_bucket(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
+    plain = (F.size(h) >= 30) & (F.size(F.array_distinct(h)) * 10 >= F.size(h) * 4) & ~F.regexp_like(text, F.lit(SYMBOL)) & (_count(text, CAPITAL) * 10 <= n * 2)
+    once = F.transform(F.array(_lines(text)), lambda x: F.size(F.array_distinct(x)) == F.size(x))[0]
+    return plain & once
 
 
-def _pair_bucket(x: Column, y: Column) -> Column:
-    return (F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)) + BUCKETS).cast("int")
+def buckets(h: Column) -> Column:
+    """The bucket of every word, then that of every pair of neighbouring words, of word hashes h."""
+    rest = F.greatest(F.size(h) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(2), rest), lambda x, y: (F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)) + BUCKETS).cast("int"))
+    return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")), pairs)
 
 
 def weights(worded: DataFrame, target: Column) -> list[int]:
@@ -98,10 +100,8 @@ def weights(worded: DataFrame, target: Column) -> list[int]:
     summed map-side, so that a task sends one row a bucket at most; what the driver gets has 2 * BUCKETS rows at any
     size. Without target rows every weight is 0.
     """
-    w = F.col("w")
-    held = worded.select(target.alias("t"), "w")  # worked out before the words are spread, once a document
-    pairs = held.select("t", F.explode(F.transform(w, lambda x, i: F.struct(x.alias("x"), F.get(w, i + 1).alias("y")))).alias("p"))
-    grams = pairs.select("t", F.explode(F.array(_word_bucket(F.col("p.x")), F.when(F.col("p.y").isNotNull(), _pair_bucket(F.col("p.x"), F.col("p.y"))))).alias("b")).where("b is not null")
+    held = worded.select(target.alias("t"), "h")  # worked out before the words are spread, once a document
+    grams = held.select("t", F.explode(buckets(F.col("h"))).alias("b"))
     counts = {r[0]: (r[1], r[2]) for r in grams.groupBy("b").agg(F.count(F.lit(1)), F.sum(F.col("t").cast("long"))).collect()}
     out = []
     for start in (0, BUCKETS):
@@ -115,13 +115,9 @@ def weights(worded: DataFrame, target: Column) -> list[int]:
     return out
 
 
-def log_ratio(w: Column, held: Column) -> Column:
+def log_ratio(h: Column, held: Column) -> Column:
     """Sum of the weights of a text's words and pairs of words."""
-
-    def each(x, i):
-        return F.get(held, _word_bucket(x)) + F.when(F.get(w, i + 1).isNotNull(), F.get(held, _pair_bucket(x, F.get(w, i + 1)))).otherwise(F.lit(0).cast("long"))
-
-    return F.aggregate(F.transform(w, each), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(buckets(h), F.lit(0).cast("long"), lambda a, b: a + F.get(held, b))
 
 
 def score(docs: DataFrame, target: Column | None = None, threshold: int = THRESHOLD) -> DataFrame:
@@ -137,7 +133,24 @@ def score(docs: DataFrame, target: Column | None = None, threshold: int = THRESH
     worded = with_words(docs)
     table = weights(worded, trusted(worded) if target is None else target)
     held = F.lit(np.array(table, np.int64))  # a literal of fixed length in the plan
-    out = base_rules(worded).withColumn("log_ratio", log_ratio(F.col("w"), held))
+    out = base_rules(worded).withColumn("log_ratio", log_ratio(F.col("h"), held))
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     out = out.withColumn("n_grams", n_grams).withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= F.col("n_grams") * threshold))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio", "n_grams")
+
+
+def base_query(docs: DataFrame) -> DataFrame:
+    """The columns of the operator that need no statistics of the corpus, which SQL can express too."""
+    return base_rules(with_words(docs)).drop("h")
+
+
+#: DuckDB SQL for base_query over documents.
+BASE_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT k, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5), h AS (SELECT k, i, w[i:i+4] AS v FROM g),
+r AS (SELECT k, i FROM h QUALIFY count(*) OVER (PARTITION BY k, v) > 1),
+n AS (SELECT k, sum(least(5, coalesce(after - i, 5))) AS n FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS after FROM r) GROUP BY k),
+b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN n USING (k))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
+"""

@@ -46,6 +46,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(read_table(spark, sf_dir, "documents"))
 
 
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.base_query(read_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -60,7 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "quality_rules_base": quality_rules_base,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat.SQL, "quality_rules_base": quality_rules.BASE_SQL}
