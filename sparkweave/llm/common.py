@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are handled in runs of about this many bytes, which bounds the memory of a task; a longer text is a run alone.
 CHUNK_BYTES = 1 << 20
@@ -24,6 +25,7 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_CODE = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -90,10 +92,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash of all prefixes; see span_hash."""
+def prefix_hash(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """Running polynomial hash of all prefixes; see span_hash. other: with other codes of the bytes, for a second hash."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * powers(_BASE, len(data)), out=out[1:])
+    np.cumsum((_OTHER_CODE if other else _BYTE_CODE)[data] * powers(_BASE, len(data)), out=out[1:])
     return out
 
 
@@ -120,7 +122,7 @@ def string_hash(text: str | bytes) -> int:
 # ---------------------------------------------------------------- Arrow functions
 
 
-def map_arrow(df: DataFrame, body: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, body: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """mapInArrow of a function from one batch to one batch."""
 
     def each(batches):
@@ -130,15 +132,38 @@ def map_arrow(df: DataFrame, body: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(each, schema)
 
 
+def unused_name(columns: list[str], name: str) -> str:
+    """name, with underscores put before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_columns(df: DataFrame, new: str, body: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """df without columns by the new names, and the new ones, which body makes of each batch of the others."""
+    added = T._parse_datatype_string(new)
+    kept = df.drop(*added.names)
+    names = [*kept.columns, *added.names]
+    return map_arrow(kept, lambda b: pa.RecordBatch.from_arrays([*b.columns, *body(b)], names), T.StructType([*kept.schema.fields, *added.fields]))
+
+
+def kept_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of df for which keep is true; no column is added, so none can clash."""
+    return map_arrow(df, lambda b: b.filter(pa.array(keep(b), pa.bool_())), df.schema)
+
+
 # ---------------------------------------------------------------- the shared folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, as in tests, a local one."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, a local one in local mode, as in tests, else an error."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="sparkweave-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")

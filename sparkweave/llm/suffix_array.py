@@ -1,22 +1,22 @@
-"""Suffix arrays by induced sorting and permuted common prefixes, bucket by bucket in numpy."""
+"""Suffix arrays by induced sorting, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A recursion whose names leave fewer suffixes a bucket than this is sorted by doubling instead.
-BUCKET_LOAD = 48
+#: Entries that a sweep by stretches looks at first; stretches grow and shrink with what they find.
+STRETCH = 256
 
 
 def suffix_array(text: np.ndarray, alphabet: int | None = None) -> np.ndarray:
     """Suffix array of an integer text whose last symbol is 0 and the only 0.
 
     Suffixes are S (smaller than the next) or L. Leftmost-S (LMS) suffixes are put at the ends of their buckets, from
-    which L suffixes are induced in one sweep upwards, and S suffixes in one downwards; a first such pass sorts the LMS
-    substrings, whose names, in text order, are sorted in recursion, and a second sorts all. A sweep takes a bucket as
-    a whole: what its entries induce is dealt to the buckets in one stable step, again as long as it falls in its own.
+    which L suffixes are induced in one sweep upwards, and S suffixes in one downwards. A first such pass sorts the LMS
+    substrings; their names, in text order, are a text of at most half the length, which is sorted in the same way where
+    names recur; and a second pass sorts all.
     """
-    text = np.asarray(text)
+    text = np.asarray(text, np.int64)
     n = len(text)
     if n < 3:
         return np.arange(n - 1, -1, -1, dtype=np.int64) if n else np.zeros(0, np.int64)
@@ -29,11 +29,9 @@ def suffix_array(text: np.ndarray, alphabet: int | None = None) -> np.ndarray:
     small[:-1] = rising[later] > 0
     small[-1] = True
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sizes = np.bincount(text, minlength=alphabet)
-    tails = np.cumsum(sizes)
-    heads = tails - sizes
+    tails = np.cumsum(np.bincount(text, minlength=alphabet))
     # leftmost-S substrings in order, to the first difference
-    sorted_sa = _induce(text, lms, heads, tails)
+    sorted_sa = _induce(text, small, lms, tails)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sorted_sa[is_lms[sorted_sa]]
@@ -54,106 +52,85 @@ def suffix_array(text: np.ndarray, alphabet: int | None = None) -> np.ndarray:
     names = np.empty(len(lms), np.int64)
     names[number[order]] = np.r_[0, np.cumsum(~same)]
     distinct = int(names.max()) + 1
-    if distinct == len(lms):
-        place = order
-    elif len(lms) < BUCKET_LOAD * distinct:
-        place = lms[_by_doubling(names)]
-    else:
-        place = lms[suffix_array(names, distinct)]
-    return _induce(text, place, heads, tails)
+    place = order if distinct == len(lms) else lms[suffix_array(names, distinct)]
+    return _induce(text, small, place, tails)
 
 
-def _induce(text: np.ndarray, lms: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    """All suffixes, sorted as far as those of lms are."""
+def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """All suffixes, sorted as far as those of lms are.
+
+    What an entry induces lies further on in the sweep. Where buckets hold many entries, a sweep takes a stretch at once
+    and ends it at the first place that falls into the stretch itself; where they hold few, it goes entry by entry. Both
+    give the same order.
+    """
     n = len(text)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     symbols = text[lms]
     order = np.argsort(symbols, kind="stable")
-    placed, own = lms[order], symbols[order]
-    counts = np.bincount(own, minlength=len(heads))
-    starts = tails - counts  # of the LMS part of each bucket
+    own = symbols[order]
+    counts = np.bincount(own, minlength=len(tails))
     group = np.cumsum(counts) - counts
-    sa[starts[own] + np.arange(len(own)) - group[own]] = placed
-    buckets = np.flatnonzero(tails > heads)
-    # upwards
-    head = heads.copy()
-    for c in buckets.tolist():
-        done = heads[c]
-        while done < head[c]:  # L entries, those that fall into this bucket meanwhile included
-            batch = sa[done : head[c]]
-            done = head[c]
-            _deal(text, batch, c, head, sa, True)
-        if counts[c]:
-            _deal(text, sa[starts[c] : tails[c]], c, head, sa, True)
-    # downwards; LMS entries give way to the S suffixes in order
-    tail = tails.copy()
-    for c in buckets[::-1].tolist():
-        done = tails[c]
-        while tail[c] < done:
-            batch = sa[tail[c] : done][::-1]
-            done = tail[c]
-            _deal(text, batch, c, tail, sa, False)
-        if head[c] > heads[c]:
-            _deal(text, sa[heads[c] : head[c]][::-1], c - 1, tail, sa, False)
-        if c == 0:  # the sentinel is the least, and induces first
-            sa[0] = n - 1
-    return sa
-
-
-def _deal(text: np.ndarray, batch: np.ndarray, c: int, at: np.ndarray, sa: np.ndarray, up: bool) -> None:
-    """Put the suffixes before those of batch into their buckets, in batch order: up, L ones from the heads on; else S ones from the tails down."""
-    before = batch - 1
-    before = before[before >= 0]
-    symbols = text[before]
-    keep = symbols >= c if up else symbols <= c
-    before, symbols = before[keep], symbols[keep]
-    m = len(before)
-    if m == 0:
-        return
-    if m == 1:
-        s = symbols[0]
-        if up:
-            sa[at[s]] = before[0]
-            at[s] += 1
+    sa[(tails - counts)[own] + np.arange(len(own)) - group[own]] = lms[order]
+    # the symbol before each suffix where that begins an L suffix, else -1; the last, for entries of -1, too
+    before = np.full(n + 1, -1, np.int32)
+    before[1:n] = np.where(small[:-1], -1, text[:-1])
+    # upwards: L suffixes, from the heads of their buckets on
+    edge = np.zeros(len(tails), np.int32)
+    edge[1:] = tails[:-1]
+    many = n >= 64 * len(tails)
+    (_stretches if many else _steps)(sa, before, edge, 1)
+    # downwards: S suffixes, from the tails of their buckets on, LMS ones anew
+    filled = np.flatnonzero(sa >= 0)
+    sa[filled[small[sa[filled]]]] = -1
+    sa[0] = n - 1
+    before[1:n] = np.where(small[:-1], text[:-1], -1)
+    edge = (tails - 1).astype(np.int32)
+    (_stretches if many else _steps)(sa[::-1], before, edge, -1)
+    return sa.astype(np.int64)
+
+
+def _steps(sa: np.ndarray, before: np.ndarray, edge: np.ndarray, step: int) -> None:
+    """A sweep over sa, entry by entry."""
+    places, induces, edges = memoryview(sa if step > 0 else sa[::-1]), memoryview(before), memoryview(edge)
+    for j in memoryview(sa):
+        if j > 0:
+            c = induces[j]
+            if c >= 0:
+                at = edges[c]
+                places[at] = j - 1
+                edges[c] = at + step
+
+
+def _stretches(sa: np.ndarray, before: np.ndarray, edge: np.ndarray, step: int) -> None:
+    """A sweep over sa by stretches."""
+    n, at, size = len(sa), 0, STRETCH
+    while at < n:
+        until = min(n, at + size)
+        batch = sa[at:until]
+        symbols = before[batch]
+        mine = np.flatnonzero(symbols >= 0)
+        if not len(mine):
+            at, size = until, 2 * size
+            continue
+        symbols = symbols[mine]
+        order = np.argsort(symbols.astype(np.uint16) if len(edge) < 1 << 16 else symbols, kind="stable")
+        grouped = symbols[order]
+        new = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]])
+        count = np.diff(new, append=len(grouped))
+        rank = np.arange(len(grouped)) - np.repeat(new, count)
+        places = edge[grouped] + step * rank
+        if step < 0:
+            places = n - 1 - places
+        first = int(places.min())
+        if first < until:  # all before it are complete
+            done = order < np.searchsorted(mine, first - at)
+            places, order, grouped = places[done], order[done], grouped[done]
+            until, size = first, max(STRETCH, first - at)
         else:
-            at[s] -= 1
-            sa[at[s]] = before[0]
-        return
-    order = np.argsort(symbols, kind="stable")
-    symbols, before = symbols[order], before[order]
-    first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-    count = np.diff(np.r_[first, m])
-    rank = np.arange(m) - np.repeat(first, count)
-    if up:
-        sa[np.repeat(at[symbols[first]], count) + rank] = before
-        at[symbols[first]] += count
-    else:
-        sa[np.repeat(at[symbols[first]], count) - 1 - rank] = before
-        at[symbols[first]] -= count
-
-
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of the names, by ranks of prefixes of doubling length; only what is still tied is sorted again."""
-    n = len(names)
-    rank = names.copy()
-    sa = np.argsort(rank, kind="stable")
-    sorted_rank = rank[sa]
-    new = np.r_[True, sorted_rank[1:] != sorted_rank[:-1]]
-    step = 1
-    while True:
-        first = np.flatnonzero(new)
-        rank[sa] = np.repeat(first, np.diff(np.r_[first, n]))
-        tied = ~(new & np.r_[new[1:], True])
-        if not tied.any():
-            return sa
-        at = np.flatnonzero(tied)
-        own = sa[at]
-        follow = np.where(own + step < n, rank[np.minimum(own + step, n - 1)], -1)
-        order = np.lexsort((follow, rank[own]))
-        own, follow = own[order], follow[order]
-        sa[at] = own
-        new[at] = np.r_[True, (rank[own][1:] != rank[own][:-1]) | (follow[1:] != follow[:-1])]
-        step *= 2
+            size *= 2
+        sa[places] = batch[mine[order]] - 1
+        np.add.at(edge, grouped, step) if len(grouped) < 64 else np.add(edge, step * np.bincount(grouped, minlength=len(edge)).astype(np.int32), out=edge)
+        at = until
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
