@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, fold, map_arrow, runs, text_bytes
+from .common import CHUNK_BYTES, fold, runs, text_bytes, with_columns
 from .subwords import words_of
-from .training import Adam
+from .training import Adam, fitted
 
 #: n-grams of <word>: those with < or > are its affixes, the others lie inside; the whole word is the lexicon's feature.
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-#: Words of a chain; a text is cut into so many words a chain, the last may be shorter.
+#: Words of the chains that the model learns from. A text to be labelled is one chain, whatever its length, worked out
+#: in segments of so many words.
 CHAIN = 32
 #: Documents of each language that the model learns from, at most.
 PER_LANGUAGE = 150
@@ -126,62 +127,112 @@ def train(texts: pa.Array, languages: list[str], steps: int = STEPS, seed: int =
     return Model(known, model["emission"].astype(np.float32), model["transition"], model["start"])
 
 
-def label_words(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Row and language marginals of every word with letters of the texts, in text order."""
-    data, offsets = text_bytes(texts)
-    rows, out = [np.zeros(0, np.int64)], [np.zeros((0, len(model.languages)))]
-    for a, b in runs(offsets, CHUNK_BYTES // 2):
-        words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], letters_only=True)
-        if not len(words.row):
-            continue
-        chain, place, n = chains(words.row, b - a)
-        scores = word_scores(words, model.emission)
-        unary, real = np.zeros((n, CHAIN, len(model.languages))), np.zeros((n, CHAIN), bool)
-        unary[chain, place], real[chain, place] = scores[words.word], True
-        marginal, _, _ = forward_backward(unary, real, model.transition, model.start)
-        rows.append(words.row + a)
-        out.append(marginal[chain, place])
-    return np.concatenate(rows), np.concatenate(out)
+def chain_marginals(unary: np.ndarray, row: np.ndarray, n_rows: int, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals of every word, words x labels, where all words of a row, rows ascending, are one chain.
+
+    A chain is cut into segments of CHAIN words, of all chains at once: the product of a segment's matrices says what it
+    makes of any message, so messages go from segment to segment in a few steps, and from there to each word.
+    """
+    n, k = unary.shape
+    if not n:
+        return np.zeros((0, k))
+    segment, place, s = chains(row, n_rows, CHAIN)
+    emit, real = np.ones((CHAIN, s, k)), np.zeros((CHAIN, s), bool)
+    emit[place, segment], real[place, segment] = np.exp(unary - unary.max(1, keepdims=True)), True
+    move, begin = np.exp(transition), np.exp(start)
+    per_row = -(-np.bincount(row, minlength=n_rows) // CHAIN)
+    per_row = per_row[per_row > 0]
+    first = np.cumsum(per_row) - per_row
+    opens = np.zeros(s, bool)
+    opens[first] = True
+    # messages into and out of segments; the longest chains first, so that those still going on are a prefix
+    order = np.argsort(-per_row, kind="stable")
+    at, left = first[order], per_row[order]
+    before, after = np.full((s, k), 1 / k), np.ones((s, k))
+    if left[0] > 1:
+        step = np.where(opens[:, None, None], begin[None, None], move[None]) * emit[0][:, None]
+        for i in range(1, CHAIN):
+            step = np.where(real[i][:, None, None], (step.reshape(-1, k) @ move).reshape(s, k, k) * emit[i][:, None], step)
+            if i % 8 == 7:
+                step /= step.max((1, 2), keepdims=True)
+        for j in range(1, left[0]):
+            on = at[: np.searchsorted(-left, -j, "left")]
+            x = np.einsum("si,sij->sj", before[on + j - 1], step[on + j - 1])
+            before[on + j] = x / x.sum(1, keepdims=True)
+        for j in range(left[0] - 1, 0, -1):
+            on = at[: np.searchsorted(-left, -j, "left")]
+            x = np.einsum("sij,sj->si", step[on + j], after[on + j])
+            after[on + j - 1] = x / x.sum(1, keepdims=True)
+    ahead = np.empty((CHAIN, s, k))
+    a = np.where(opens[:, None], begin, before @ move) * emit[0]
+    ahead[0] = a / a.sum(1, keepdims=True)
+    for i in range(1, CHAIN):
+        a = (ahead[i - 1] @ move) * emit[i]
+        ahead[i] = np.where(real[i][:, None], a / a.sum(1, keepdims=True), ahead[i - 1])
+    back = after
+    for i in range(CHAIN - 1, -1, -1):
+        ahead[i] *= back  # now the marginals
+        b = (emit[i] * back) @ move.T
+        back = np.where(real[i][:, None], b / b.sum(1, keepdims=True), back)
+    out = ahead[place, segment]
+    return out / out.sum(1, keepdims=True)
+
+
+def label_words(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Row and language marginals of every word with letters of a run of texts, in text order; a text is one chain."""
+    words = words_of(data, offsets, letters_only=True)
+    scores = word_scores(words, model.emission)
+    return words.row, chain_marginals(scores[words.word], words.row, len(offsets) - 1, model.transition, model.start)
 
 
 def predict_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
-    """Language of each text, that with the largest mean marginal over its words, and that mean."""
+    """Language of each text, that with the largest mean marginal over its words, and that mean.
+
+    Of a run of texts only these two are kept, so what a batch takes doesn't grow with its words.
+    """
     n, k = len(texts), len(model.languages)
+    names, score = [UNKNOWN] * n, np.zeros(n)
     if not k:
-        return [UNKNOWN] * n, np.zeros(n)
-    row, marginal = label_words(texts, model)
-    counts = np.bincount(row, minlength=n)
-    mean = np.stack([np.bincount(row, marginal[:, j], n) for j in range(k)], 1) / np.maximum(counts, 1)[:, None]
-    best = mean.argmax(1)
+        return names, score
     data, offsets = text_bytes(texts)
-    ascii_letter = np.r_[0, np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))]
-    sure = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
-    names = [model.languages[x] for x in best]
-    score = mean[np.arange(n), best]
-    for i in np.flatnonzero(~sure):
-        if not any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")):
-            names[i], score[i] = UNKNOWN, 0.0
+    for a, b in runs(offsets, CHUNK_BYTES // 2):
+        own, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        row, marginal = label_words(own, bounds, model)
+        counts = np.bincount(row, minlength=b - a)
+        mean = np.stack([np.bincount(row, marginal[:, j], b - a) for j in range(k)], 1) / np.maximum(counts, 1)[:, None]
+        best = mean.argmax(1)
+        ascii_letter = np.r_[0, np.cumsum(((own | 32) >= 97) & ((own | 32) <= 122))]
+        sure = ascii_letter[bounds[1:]] > ascii_letter[bounds[:-1]]
+        for i in range(b - a):
+            if sure[i] or any(c.isalpha() for c in own[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace")):
+                names[a + i], score[a + i] = model.languages[best[i]], mean[i, best[i]]
     return names, np.clip(score, 0, 1)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 3, held_out: int = 1) -> Model:
-    """The model from up to per_language documents of each language outside the held-out fold, the first by a hash of the id."""
+    """The model from up to per_language documents of each language outside the held-out fold, the first by a hash of the id.
+
+    Somewhat more than that many are taken by a share of the hash range for each language, ids and languages that are
+    repeated put together, and cut to the first in the task that learns.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() % folds != held_out))
-    counts = known.groupBy("lang").count().collect()
-    if not counts:
-        return train(pa.array([], pa.string()), [])
-    spark = docs.sparkSession
-    share = F.broadcast(spark.createDataFrame([(r[0], min(1.0, 1.5 * per_language / r[1] + 20 / r[1])) for r in counts], "lang string, share double"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(1.5 * per_language + 20) / F.col("n")).alias("share"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    rows = known.join(share, "lang").where(rank < F.col("share") * F.lit(float(1 << 40))).select(rank.alias("rank"), "doc_id", "lang", "text").collect()
-    texts, languages, taken = [], [], dict.fromkeys((r[0] for r in counts), 0)
-    for r in sorted(rows, key=lambda r: tuple(r)):
-        if taken[r[2]] < per_language:
-            taken[r[2]] += 1
-            texts.append(r[3])
-            languages.append(r[2])
-    return train(pa.array(texts, pa.string()), languages)
+    near = known.join(share, "lang").where(rank < F.col("share") * F.lit(float(1 << 40)))
+    sample = near.groupBy(rank.alias("rank"), "doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def learn(table: pa.Table) -> Model:
+        texts, languages, taken = [], [], {}
+        for _, _, lang, text in sorted(zip(*(table[c].to_pylist() for c in ("rank", "doc_id", "lang", "text")), strict=True)):
+            taken[lang] = taken.get(lang, 0) + 1
+            if taken[lang] <= per_language:
+                texts.append(text)
+                languages.append(lang)
+        return train(pa.array(texts, pa.string()), languages)
+
+    return fitted(sample, learn)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,16 +241,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     One pass without a shuffle; the model, of fixed size, is broadcast. Texts that are null or have no letter get
     `und` and 0. Repeated rows each get their row, an empty table none. Columns of docs by the new names are replaced.
     """
-    kept = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    at = kept.columns.index("text")
 
-    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, score = predict_texts(batch.column(at), held.value)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+    def body(batch: pa.RecordBatch) -> list[pa.Array]:
+        names, score = predict_texts(batch.column("text"), held.value)
+        return [pa.array(names, pa.string()), pa.array(score)]
 
-    return map_arrow(kept, body, f"{fields}, lang_pred string, score double")
+    return with_columns(docs, "lang_pred string, score double", body)
 
 
 def query(docs: DataFrame) -> DataFrame:

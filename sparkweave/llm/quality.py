@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, map_arrow, prefix_hash, runs, span_hash, text_bytes, word_spans
-from .training import Adam, sampled_ids, sampled_texts, sigmoid
+from .common import LOWER, fold, prefix_hash, runs, span_hash, text_bytes, with_columns, word_spans
+from .training import Adam, fitted, sampled, sigmoid, texts_and_labels
 
 #: Words of a passage; the last of a text may have fewer.
 PASSAGE = 64
@@ -136,7 +136,7 @@ def score_texts(texts: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 4, held_out: int = 2) -> dict[str, np.ndarray]:
     """The model from up to per_class labelled documents of each class outside the held-out fold."""
-    return train(*sampled_texts(docs, sampled_ids(labels, "quality", folds, held_out, per_class)))
+    return fitted(sampled(docs, labels, "quality", folds, held_out, per_class), lambda table: train(*texts_and_labels(table)))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
@@ -145,16 +145,13 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = THRE
     One pass, no shuffle; the model, of fixed size, is broadcast. Null and empty texts count as one passage of zeros.
     Repeated rows each get their row, an empty table none. Columns of docs by the new names are replaced.
     """
-    kept = docs.drop("score", "predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    at = kept.columns.index("text")
 
-    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = score_texts(batch.column(at), held.value)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+    def body(batch: pa.RecordBatch) -> list[pa.Array]:
+        s = score_texts(batch.column("text"), held.value)
+        return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
-    return map_arrow(kept, body, f"{fields}, score double, predicted int")
+    return with_columns(docs, "score double, predicted int", body)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, runs, text_bytes
+from .common import fold, kept_rows, runs, text_bytes, with_columns
 from .subwords import means, words_of
-from .training import Adam, sampled_ids, sampled_texts, sigmoid
+from .training import Adam, fitted, sampled, sigmoid, texts_and_labels
 
 LENGTHS = (4, 5)
 BUCKETS = 1 << 16
@@ -17,7 +17,7 @@ DIMENSIONS = 8
 #: Labelled rows of each class that the model learns from, at most.
 PER_CLASS = 2000
 STEPS = 240
-#: Texts of the sample that a subword must occur in to count.
+#: Texts of the sample that a subword must occur in to have an embedding; one seen in fewer adds nothing to a score.
 MIN_TEXTS = 5
 #: Empty words that every text is taken to end in, so that few words are no proof.
 PADDING = 10
@@ -46,7 +46,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
-def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, seed: int = 3, rate: float = 0.2) -> dict[str, np.ndarray]:
+def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, seed: int = 3, rate: float = 0.2, min_texts: int = MIN_TEXTS) -> dict[str, np.ndarray]:
     """Embeddings E, softmax weights W and biases b. Both classes weigh alike. Without rows of a class all scores are 0."""
     rng = np.random.default_rng(seed)
     model = {"E": rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)), "W": rng.normal(0, 0.5, (DIMENSIONS, 2)), "b": np.zeros(2)}
@@ -54,7 +54,7 @@ def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, seed: int = 3
     if not n or labels.min() == labels.max():
         return {k: np.zeros_like(v) for k, v in model.items()} | {"b": np.array([40.0, -40.0])}
     row, bucket, weight = bags(texts)
-    known = np.bincount(bucket, minlength=BUCKETS) >= MIN_TEXTS
+    known = np.bincount(bucket, minlength=BUCKETS) >= min_texts
     model["E"][~known] = 0  # a subword that was hardly seen says nothing
     keep = known[bucket]
     row, bucket, weight = row[keep], bucket[keep], weight[keep]
@@ -90,27 +90,34 @@ def score_texts(texts: pa.Array, odds: np.ndarray, bias: float) -> np.ndarray:
     return sigmoid(out + bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> dict[str, np.ndarray]:
-    """The model from up to per_class labelled documents of each class outside the held-out fold."""
-    return train(*sampled_texts(docs, sampled_ids(labels, "toxic", folds, held_out, per_class)))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1, min_texts: int = MIN_TEXTS) -> tuple[np.ndarray, float]:
+    """The folded model from up to per_class labelled documents of each class outside the held-out fold."""
 
+    def learn(table: pa.Table):
+        return folded(train(*texts_and_labels(table), min_texts=min_texts))
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    return fitted(sampled(docs, labels, "toxic", folds, held_out, per_class), learn)
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs, and score (0 to 1) and predicted (1 if score >= threshold).
 
     One pass, no shuffle; the model, of fixed size, is broadcast. A null or empty text has no words and the score of
     the bias alone. Repeated rows each get their row, an empty table none. Columns of docs by these names are replaced.
     """
-    kept = docs.drop("score", "predicted")
-    held = docs.sparkSession.sparkContext.broadcast(folded(model))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    at = kept.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def body(batch: pa.RecordBatch) -> list[pa.Array]:
+        s = score_texts(batch.column("text"), *held.value)
+        return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+
+    return with_columns(docs, "score double, predicted int", body)
 
-    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = score_texts(batch.column(at), *held.value)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return map_arrow(kept, body, f"{fields}, score double, predicted int")
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is under threshold, with the columns of docs, whatever their names; see score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, lambda batch: score_texts(batch.column("text"), *held.value) < threshold)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Bounded labelled samples for models that are fitted on the driver."""
+"""Bounded labelled samples, and the fitting of models on them in a task of its own."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,29 +13,37 @@ from pyspark.sql import functions as F
 from .common import fold
 
 
-def sampled_ids(labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> dict[int, int]:
-    """doc_id -> 0 or 1: of each class up to per_class ids outside the held-out fold, the first by a hash of the id.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of up to per_class documents of each class outside the held-out fold.
 
-    Labels other than 0 and 1, null ids and ids with both labels are left out; a repeated id counts once.
+    Of each class the first ids by a hash are taken. Labels other than 0 and 1, null ids and ids with both labels are
+    left out; a repeated id counts once, with its least text, and ids that no document has are none. The chosen ids, two
+    per_class at most, are broadcast to the scan of the texts.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold() % folds != held_out))
     one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = high")
-    out: dict[int, int] = {}
-    for k in (0, 1):
-        rows = one.where(F.col("low") == k).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
-        out |= {r[0]: k for r in rows}
-    return out
-
-
-def sampled_texts(docs: DataFrame, ids: dict[int, int]) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of the sampled ids, by id; the ids, a bounded list, go to the scan."""
-    if not ids:
-        return pa.array([], pa.string()), np.zeros(0, np.int64)
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").collect()
-    rows = sorted(((r[0], r[1] or "") for r in rows))
-    return pa.array([r[1] for r in rows], pa.string()), np.array([ids[r[0]] for r in rows], np.int64)
+    first = [one.where(F.col("low") == k).select("doc_id", F.col("low").cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.join(F.broadcast(first[0].union(first[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
+def fitted(sample: DataFrame, learn: Callable[[pa.Table], object]) -> object:
+    """What learn makes of a bounded sample, in one task on an executor: the driver gets the model alone, never the rows."""
+    schema = pa.schema([(f.name, pa.string() if f.dataType.simpleString() == "string" else pa.int64()) for f in sample.schema.fields])
+
+    def body(batches):
+        held = [b.cast(schema) for b in batches]
+        yield pa.record_batch({"model": pa.array([pickle.dumps(learn(pa.Table.from_batches(held, schema)))], pa.binary())})
+
+    rows = sample.repartition(1).mapInArrow(body, "model binary").collect()
+    return pickle.loads(rows[0][0]) if rows else learn(schema.empty_table())
+
+
+def texts_and_labels(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of a sample, in order of id."""
+    table = table.sort_by("doc_id")
+    texts = pa.array([], pa.string()) if not table.num_rows else pa.concat_arrays(table["text"].chunks)
+    return texts, table["label"].to_numpy().astype(np.int64)
 
 
 class Adam:

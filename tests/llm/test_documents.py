@@ -13,6 +13,7 @@ import pytest
 
 from sparkweave.llm import decontaminate, language, minhash, packing, quality, quality_rules, suffix_array, suffix_dedup, token_counts, toxicity
 from sparkweave.llm.common import string_hash, text_bytes, word_spans
+from sparkweave.llm.subwords import words_of
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 ASCII = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -118,8 +119,34 @@ def test_suffix_dedup_is_brute_force(docs, rows):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         expected[i, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()] += 1
     assert Counter(map(tuple, suffix_dedup.query(docs).collect())) == expected
-    found, _ = suffix_dedup.find(docs, width, hot=1)  # every key with several segments by way of the hashes
-    assert sum(b - a for r in found.collect() for a, b in suffix_dedup.spans_of(r.repeats, width)) == sum(k[2] * n for k, n in expected.items())
+    for limit in (1, 3000):  # the segments of every key, or of many, are split
+        found, _ = suffix_dedup.find(docs, width, limit=limit)
+        assert sum(b - a for r in found.collect() for a, b in suffix_dedup.spans_of(r.repeats, width)) == sum(k[2] * n for k, n in expected.items())
+
+
+@pytest.mark.parametrize("limit", [suffix_dedup.SHARD_BYTES, 5000])
+def test_a_common_passage_is_a_run_or_two_a_document(spark, limit):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage = words(70)
+    rows = [(i, f"{words(30)} {passage} {words(rng.randint(0, 30))}".strip()) for i in range(300)]
+    found, _ = suffix_dedup.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), limit=limit)
+    out = {r.doc_id: r for r in found.collect()}
+    assert len(out) == 300
+    for i, t in rows:
+        a = t.index(passage)
+        (x, y), = suffix_dedup.spans_of(out[i].repeats, 200)
+        assert a - 8 <= x <= a and a + len(passage) <= y <= a + len(passage) + 8
+        assert len(out[i].repeats) < 60  # segments of the passage, each in one run or two, and not its places
+
+
+def test_deduplicated_leaves_columns_of_any_name_alone(spark):
+    passage = "".join(random.Random(1).choices("abcdef ", k=260))
+    rows = [(1, "x" + passage, "a", 1, 2.0), (2, "y" + passage, "b", 3, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repeats string, f long, h double")
+    out = suffix_dedup.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {(1, "x", "a", 1, 2.0), (2, "y", "b", 3, None), (None, None, None, None, None)}
 
 
 def test_deduplicated_keeps_characters_whole(spark):
@@ -146,6 +173,17 @@ def test_suffix_arrays():
             assert phi[b] == a and lengths[b] == m
 
 
+def test_names_that_recur_are_sorted_in_recursion(monkeypatch):
+    calls, whole = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda *a: calls.append(len(a[0])) or whole(*a))
+    rng = random.Random(3)
+    text = " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=4000)).encode()
+    x = np.r_[np.frombuffer(text, np.uint8), 0].astype(np.uint16)
+    sa = suffix_array.suffix_array(x)
+    assert len(calls) > 2 and all(b <= a // 2 + 1 for a, b in zip(calls, calls[1:]))
+    assert sa.tolist() == sorted(range(len(x)), key=lambda i: bytes(x[i:].astype(np.uint8)))
+
+
 def base_of(text):
     text = text or ""
     words = WORDS.findall(text)
@@ -172,9 +210,10 @@ def test_quality_rules_are_brute_force(spark, docs, rows):
         return w, list(zip(w, w[1:]))
 
     pairs = {p for r in rows for p in buckets(r[1])[1]} | {(w, w) for r in rows for w in buckets(r[1])[0]}
-    hashed = {(r.x, r.y): (r.one, r.two) for r in spark.createDataFrame(sorted(pairs), "x string, y string").select("x", "y", quality_rules._word_bucket(F.col("x")).alias("one"), quality_rules._pair_bucket(F.col("x"), F.col("y")).alias("two")).collect()}
+    two = quality_rules.buckets(F.array(F.xxhash64("x"), F.xxhash64("y")))
+    hashed = {(r.x, r.y): (r.one, r.two) for r in spark.createDataFrame(sorted(pairs), "x string, y string").select("x", "y", two[0].alias("one"), two[2].alias("two")).collect()}
     grams = [[hashed[w, w][0] for w in buckets(r[1])[0]] + [hashed[p][1] for p in buckets(r[1])[1]] for r in rows]
-    trust = [len(w := WORDS.findall(r[1] or "")) >= 30 and not any(c in "#*$%&|<>" for c in r[1]) and sum(c not in quality_rules.CAPITALS for c in r[1]) * 10 >= len(r[1]) * 8 and len(set(w)) * 10 >= len(w) * 4 for r in rows]
+    trust = [len(w := WORDS.findall(r[1] or "")) >= 30 and not any(c in "#*$%&|<>" for c in r[1]) and sum(c not in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in r[1]) * 10 >= len(r[1]) * 8 and len(set(w)) * 10 >= len(w) * 4 for r in rows]
     every, target = Counter(b for g in grams for b in g), Counter(b for g, t in zip(grams, trust) if t for b in g)
     assert any(trust)
     n = quality_rules.BUCKETS
@@ -358,7 +397,7 @@ def test_languages(labelled):
 def test_code_switching_is_seen_word_by_word(labelled):
     docs, _ = labelled
     model = language.fit(docs)
-    rows, marginal = language.label_words(pa.array(["the and thing other wher the der und keit einung schlich und", ""]), model)
+    rows, marginal = language.label_words(*text_bytes(pa.array(["the and thing other wher the der und keit einung schlich und", ""])), model)
     assert [model.languages[x] for x in marginal.argmax(1)] == ["en"] * 6 + ["de"] * 6 and rows.tolist() == [0] * 12
 
 
@@ -379,6 +418,37 @@ def test_forward_backward_is_brute_force():
         assert abs(pairs[a, b] - sum(w * sum(y[t] == a and y[t + 1] == b for t in range(3)) for y, w in weights.items()) / z) < 1e-9
 
 
+def test_a_text_is_one_chain_however_long(monkeypatch):
+    rng = np.random.default_rng(1)
+    k, sizes = 3, [1, 0, 4, 5, 23, 8, 2]
+    move, start = rng.normal(size=(k, k)), rng.normal(size=k)
+    unary, row = rng.normal(size=(sum(sizes), k)) * 3, np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.zeros((len(sizes), max(sizes), k))
+    real = np.arange(max(sizes))[None] < np.array(sizes)[:, None]
+    whole[real] = unary
+    wanted = language.forward_backward(whole, real, move, start)[0][real]
+    for length in (1, 2, 4, 32):
+        monkeypatch.setattr(language, "CHAIN", length)
+        assert np.allclose(language.chain_marginals(unary, row, len(sizes), move, start), wanted)
+
+
+def test_predictions_are_means_over_whole_texts(labelled):
+    docs, _ = labelled
+    model = language.fit(docs)
+    long = "the and thing " * 40 + "der und keit " * 90
+    texts = pa.array([long, "der", "12", "", "é"])
+    names, score = language.predict_texts(texts, model)
+    for text, name, s in zip(texts.to_pylist(), names, score, strict=True):
+        words = [w for w in text.split() if any(c.isalpha() for c in w)]
+        if not words:
+            assert (name, s) == ("und", 0)
+            continue
+        one = words_of(*text_bytes(pa.array([text])), letters_only=True)
+        unary = language.word_scores(one, model.emission)[one.word][None]
+        mean = language.forward_backward(unary, np.ones((1, len(words)), bool), model.transition, model.start)[0][0].mean(0)
+        assert name == model.languages[mean.argmax()] and abs(s - mean.max()) < 1e-6
+
+
 def test_empty_tables(empty, spark):
     assert minhash.near_duplicates(empty).count() == 0
     assert suffix_dedup.query(empty).count() == 0
