@@ -226,16 +226,17 @@ def test_quality_rules_are_brute_force(spark, docs, rows):
 def brute_overlap(text, item):
     tokens = [re.findall("[0-9A-Za-z\x80-\U0010ffff]+", x.translate(ASCII)) for x in (text or "", item or "")]
     t, s = tokens
-    if len(s) < decontaminate.MIN_TOKENS:
+    if not s:
         return False
     width = min(decontaminate.WINDOW, len(s))
-    return any(sum(t[a + k] == s[b + k] for k in range(width)) >= width - width // 5 for a in range(len(t) - width + 1) for b in range(len(s) - width + 1))
+    allowed = width // 5 if len(s) >= decontaminate.MIN_TOKENS else 0
+    return any(sum(t[a + k] == s[b + k] for k in range(width)) >= width - allowed for a in range(len(t) - width + 1) for b in range(len(s) - width + 1))
 
 
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(12)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([8, 9, 14, 20, 25, 40, 7, 3])] + [(3, None), (None, "v1 " * 20), (50, "")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([8, 9, 14, 20, 25, 40, 7, 5])] + [(8, "v3 v3 v4"), (3, None), (None, "v1 " * 20), (50, "")]
     rows = [(900, None), (901, ""), (902, "v1"), (902, "v1")]
     for d in range(150):
         words = rng.choices(vocabulary, k=rng.randint(0, 40))
@@ -251,9 +252,9 @@ def test_decontamination_is_brute_force(spark):
         found = decontaminate.find(docs, benchmark, limit).collect()
         expected = Counter((i, tuple(sorted({b for b, s in items if b is not None and brute_overlap(t, s)}))) for i, t in rows)
         assert Counter((r.doc_id, tuple(r["items"])) for r in found) == expected
+        kept = decontaminate.decontaminate(docs, benchmark, limit)
+        assert kept.columns == docs.columns and {r["items"] for r in kept.collect()} == {"clash"} and kept.count() == sum(not r.contaminated for r in found)
     assert any(r.contaminated for r in found) and not all(r.contaminated for r in found)
-    kept = decontaminate.decontaminate(docs, benchmark)
-    assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in found)
     assert decontaminate.find(docs, benchmark.limit(0)).where("contaminated").isEmpty()
 
 
@@ -332,6 +333,12 @@ def test_token_counts_are_best_segmentations(spark):
         for _, t in rows:
             words = (t or "").encode().split()
             assert trie.of([words]) == [sum(best(w.decode()) for w in words)]
+    trie = token_counts.ForwardTrie(vocabulary)
+    trie.of([[b"abab", b"abac"]])
+    assert len(trie.score) == 1 + len("▁aba") + 2  # what the words share is scored once
+    trie.of([[b"aba", b"abab"]])
+    assert len(trie.score) == 1 + len("▁aba") + 2
+    assert token_counts.ForwardTrie({}).of([["é a".encode().split()[0]]]) == [len("▁é".encode())]
     found = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary).collect()
     assert Counter(map(tuple, found)) == Counter((i, len((t or "").split()), sum(map(best, (t or "").split()))) for i, t in rows)
 
@@ -449,6 +456,11 @@ def test_predictions_are_means_over_whole_texts(labelled):
         assert name == model.languages[mean.argmax()] and abs(s - mean.max()) < 1e-6
 
 
+def test_scores_of_the_public_vocabulary_are_log_probabilities():
+    scores = token_counts.load_vocabulary()
+    assert abs(sum(map(math.exp, scores.values())) - 1) < 1e-6
+
+
 def test_empty_tables(empty, spark):
     assert minhash.near_duplicates(empty).count() == 0
     assert suffix_dedup.query(empty).count() == 0
