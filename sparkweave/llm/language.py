@@ -220,7 +220,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 3, held_
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = counts.select("lang", F.least(F.lit(1.0), F.lit(1.5 * per_language + 20) / F.col("n")).alias("share"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    near = known.join(share, "lang").where(rank < F.col("share") * F.lit(float(1 << 40)))
+    # a row for each language, as many as the model, which is broadcast too, has columns
+    near = known.join(F.broadcast(share), "lang").where(rank < F.col("share") * F.lit(float(1 << 40)))
     sample = near.groupBy(rank.alias("rank"), "doc_id", "lang").agg(F.min("text").alias("text"))
 
     def learn(table: pa.Table) -> Model:
