@@ -10,34 +10,51 @@ from sparkweave.llm.common import Workspace, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labels of sf_dir, rejects go."""
+    """Documents that the toxicity model, learned from the labels of sf_dir, rejects go.
+
+    Null and empty texts have the score of no words, and stay unless the model rejects that. Rows are judged one by one,
+    repeated ones alike; null ids and extra columns, whatever their names, pass through; an empty table stays empty.
+    """
     model = toxicity.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, by five words a shingle and a similarity of 0.8, the document with the smallest id stays.
 
-    Rows that share that id stay together; rows with a null id stay.
+    Rows that share that id stay together; rows with a null id, and null and empty texts, are like nothing and stay. Extra
+    columns, whatever their names, stay as they are; an empty table stays empty.
     """
     found = minhash.near_duplicates(docs, minhash.Similarity(shingle=5, percent=80))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text under every 200-byte string that also starts elsewhere goes; every document stays."""
+    """The text under every 200-byte string that also starts elsewhere goes; every document stays.
+
+    Null texts stay null, and empty ones empty; repeated rows hold each other's strings, and end with an empty text if
+    they are long enough. Null ids and extra columns, whatever their names, pass through, but for n_chars, which is
+    counted anew; an empty table stays empty.
+    """
     return suffix_dedup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Null and empty texts hold none and stay. Rows are judged one by one, repeated ones alike; null ids and extra columns,
+    whatever their names, pass through; an empty table stays empty, and an empty benchmark takes nothing.
+    """
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 2048 words: a row for each piece of a document, with its bin and place."""
+    """What is left, packed into sequences of 2048 words: a row for each piece of a document, with its bin and place.
+
+    Null and empty texts give a row without a bin; null ids and sources conflict with nothing; repeated rows are packed
+    each, never into one bin; other columns are ignored; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
