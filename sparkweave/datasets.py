@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph
+from .plans.superstep import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def user_seq(spark: SparkSession, sf_dir: str) -> Graph:
     """events: each user to the next event's, in order of time; the edge's weight is the event's value."""
-    w = Window.orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    e = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.col("value").alias("weight"), (F.row_number().over(w) - 1).cast("long").alias("edge_id")).where("dst IS NOT NULL")
-    return Graph.from_edges(e.select("edge_id", "src", "dst", "weight"))
+    e = numbered(e, ["ts", "event_id"], "edge_id")
+    follow = e.select((F.col("edge_id") - 1).alias("edge_id"), F.col("user_id").alias("dst"))
+    e = e.join(follow, "edge_id")
+    return Graph.from_edges(e.select("edge_id", F.col("user_id").alias("src"), "dst", F.col("value").alias("weight")))
 
 
 def supp_part(spark: SparkSession, sf_dir: str) -> Graph:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, NotDirectedError
-from ..plans.superstep import Loop
+from ..plans.superstep import Loop, numbered
 
 
 def least_ancestors(g: Graph, undirected: bool = False, among: DataFrame | None = None) -> DataFrame:
@@ -46,12 +46,26 @@ def components(g: Graph) -> DataFrame:
 
 def labels(found: DataFrame) -> DataFrame:
     """(id, label): classes numbered from 0 on in order of their root."""
-    from pyspark.sql import Window
-
-    ranked = found.select("root").distinct().withColumn("label", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    ranked = numbered(found.select("root").distinct(), ["root"], "label")
     return found.join(ranked, "root").select("id", "label")
 
 
+def strong_labels(g: Graph, found: DataFrame) -> DataFrame:
+    """(id, label): strong components(id, root) numbered from 0 on in reverse topological order, sinks first.
+
+    An edge between components leads to a smaller label. Of all such orders it is the one by the most edges on a path to
+    a sink, then by root: what a traversal by another order of edges may number otherwise.
+    """
+    r = found.select("id", "root")
+    ends = g.edges.select("src", "dst").join(r.select(F.col("id").alias("src"), F.col("root").alias("a")), "src").join(r.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
+    arcs = ends.where("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct().withColumn("edge_id", F.lit(0).cast("long"))
+    from .topology import topological_levels
+
+    level = topological_levels(Graph(r.select(F.col("root").alias("id")).distinct(), arcs, g.vertex_bound, 0))
+    ranked = numbered(level, ["level", "id"], "label").select(F.col("id").alias("root"), "label")
+    return r.join(ranked, "root").select("id", "label")
+
+
 def largest_component(g: Graph) -> DataFrame:
     """(id, inside) of every slot: whether it is in the largest component, of equal ones that with the smallest root."""
     found = components(g)

@@ -107,7 +107,7 @@ def test_mutation(spark):
     ends = lambda x: sorted((r.edge_id, r.src, r.dst) for r in x.edges.collect())
     cut = g.remove_edges([1, 3])
     more = cut.add_edges(spark.createDataFrame([(0, 3), (1, 3), (2, 3)], "src long, dst long"))
-    assert ends(more) == [(0, 0, 1), (1, 1, 3), (2, 2, 0), (3, 0, 3), (4, 0, 1), (5, 2, 3)] and more.edge_bound == 6 and more.released == ()
+    assert ends(more) == [(0, 0, 1), (1, 1, 3), (2, 2, 0), (3, 0, 3), (4, 0, 1), (5, 2, 3)] and more.edge_bound == 6 and more.n_released == 0
     assert ends(cut.compact_edges()) == [(0, 0, 1), (1, 2, 0), (2, 0, 1)]
     assert ends(g.clear_vertices([0])) == [(1, 1, 2)]
     gone = g.add_vertices().add_edges(spark.createDataFrame([(4, 2)], "src long, dst long")).swap_remove_vertex(1)
