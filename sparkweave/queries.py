@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import datasets as D
-from .functions.casts import Kind, convert
+from . import properties
+from .functions.casts import DynWrap, Kind, convert, copied, copy_prop
 from .functions.special import lbinom, lgamma1p, safelog, xlogx
-from .graph import Graph
+from .graph import Graph, anchored_at, reversed_edge
 from .operators import blockmodel as B
+from .operators import blockstate as S
 from .operators import centrality as C
 from .operators import components as K
 from .operators import degree as G
+from .operators import reduce as R
 from .operators import topology as T
 from .operators import traversal as V
 from .plans.superstep import shared_dir
@@ -114,7 +117,7 @@ def find_edge(spark, sf_dir):
     return D.user_seq(spark, sf_dir).find_edges()
 
 
-@query(f"WITH {SEQ} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(edge_id) AS edge_id FROM e GROUP BY 1, 2")
+@query(f"WITH {SEQ}, o AS (SELECT src, dst, min(edge_id) AS edge_id FROM e GROUP BY 1, 2), h AS (SELECT src AS s, dst AS t, 0 AS turn, * FROM o UNION ALL SELECT dst, src, 1, * FROM o WHERE src <> dst) SELECT s, t, edge_id, src, dst FROM h QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY turn) = 1")
 def find_edge_undirected(spark, sf_dir):
     return D.user_seq(spark, sf_dir).undirected().find_edges()
 
@@ -209,35 +212,16 @@ def components_directed(spark, sf_dir):
     return K.components(D.geo(spark, sf_dir))
 
 
-def _sparse(spark, sf_dir) -> Graph:
-    return D.user_seq(spark, sf_dir).filtered(edge=F.col("edge_id") % 41 == 0)
-
-
-SPARSE = SEQ + ", s AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE edge_id % 41 = 0), r(x, y) AS (SELECT id, id FROM v UNION SELECT r.x, s.dst FROM r JOIN s ON s.src = r.y)"
-
-
-@query(f"WITH RECURSIVE {SPARSE} SELECT a.x AS id, min(a.y) AS root FROM r a JOIN r b ON a.x = b.y AND a.y = b.x GROUP BY a.x")
-def strong_components(spark, sf_dir):
-    return K.strong_components(_sparse(spark, sf_dir))
-
-
-@query(f"WITH RECURSIVE {SPARSE}, c AS (SELECT y AS id, min(x) AS root FROM r GROUP BY y), best AS (SELECT root FROM c GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) SELECT slots.id, CASE WHEN c.root = (SELECT root FROM best) THEN 1 ELSE 0 END AS inside FROM slots LEFT JOIN c ON c.id = slots.id")
-def largest_component(spark, sf_dir):
-    return K.largest_component(_sparse(spark, sf_dir))
-
-
 CLOSURE = SEQ + ", s AS MATERIALIZED (SELECT DISTINCT src, dst FROM e), r(x, y) AS (SELECT id, id FROM v UNION SELECT r.x, s.dst FROM r JOIN s ON s.src = r.y)"
 
 
 @query(f"WITH RECURSIVE {CLOSURE} SELECT a.x AS id, min(a.y) AS root FROM r a JOIN r b ON a.x = b.y AND a.y = b.x GROUP BY a.x")
-def strong_components_whole(spark, sf_dir):
-    """Over every edge; strong_components has a view of one edge in 41."""
+def strong_components(spark, sf_dir):
     return K.strong_components(D.user_seq(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {CLOSURE}, c AS (SELECT y AS id, min(x) AS root FROM r GROUP BY y), best AS (SELECT root FROM c GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) SELECT slots.id, CASE WHEN c.root = (SELECT root FROM best) THEN 1 ELSE 0 END AS inside FROM slots LEFT JOIN c ON c.id = slots.id")
-def largest_component_whole(spark, sf_dir):
-    """Over every edge; largest_component has a view of one edge in 41."""
+def largest_component(spark, sf_dir):
     return K.largest_component(D.user_seq(spark, sf_dir))
 
 
@@ -266,7 +250,13 @@ def topological_sort(spark, sf_dir):
     return T.topological_sort(D.geo(spark, sf_dir))
 
 
-@query("SELECT true AS geo, true AS later, false AS user_seq")
+def _cycles(name: str, edges: str) -> str:
+    """Pairs of vertices of which the first leads to the second, and whether none leads to itself."""
+    return f"{name}_s AS MATERIALIZED (SELECT DISTINCT src, dst FROM {edges}), {name}(x, y) AS (SELECT src, dst FROM {name}_s UNION SELECT {name}.x, {name}_s.dst FROM {name} JOIN {name}_s ON {name}_s.src = {name}.y)"
+
+
+@query(f"""WITH RECURSIVE {SEQ}, {GEO.replace("e AS MATERIALIZED", "ge AS MATERIALIZED").split(", v AS")[0]}, {_cycles("a", "ge")}, {_cycles("b", "(SELECT src, dst FROM e WHERE src < dst)")}, {_cycles("c", "e")}
+SELECT NOT EXISTS (SELECT 1 FROM a WHERE x = y) AS geo, NOT EXISTS (SELECT 1 FROM b WHERE x = y) AS later, NOT EXISTS (SELECT 1 FROM c WHERE x = y) AS user_seq""")
 def is_dag(spark, sf_dir):
     seq = D.user_seq(spark, sf_dir)
     return spark.createDataFrame([(T.is_dag(D.geo(spark, sf_dir)), T.is_dag(D.later(seq)), T.is_dag(seq))], "geo boolean, later boolean, user_seq boolean")
@@ -277,7 +267,9 @@ def bipartition(spark, sf_dir):
     return T.bipartition(D.geo(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQ}, h AS MATERIALIZED (SELECT src AS id, dst AS o FROM e WHERE src <> dst UNION ALL SELECT dst, src FROM e WHERE src <> dst), l AS MATERIALIZED (SELECT id, 2 * (SELECT count(*) FROM e WHERE src = v.id AND dst = v.id) AS l FROM v),
+r(k, id, c) AS (SELECT 0, id, l + (SELECT count(*) FROM h WHERE h.id = l.id) FROM l UNION ALL SELECT k + 1, id, max(c) FROM (SELECT k, id, least(c, n + l) AS c FROM (SELECT r.k, h.id, r.c, l, row_number() OVER (PARTITION BY h.id ORDER BY r.c DESC) AS n FROM r JOIN h ON h.o = r.id JOIN l ON l.id = h.id WHERE r.k < 60) UNION ALL SELECT r.k, l.id, l.l FROM r JOIN l ON l.id = r.id WHERE r.k < 60) GROUP BY k, id)
+SELECT slots.id, coalesce(c, -1)::BIGINT AS core FROM slots LEFT JOIN r ON r.id = slots.id AND k = 60""")
 def core_numbers(spark, sf_dir):
     return T.core_numbers(D.user_seq(spark, sf_dir).undirected())
 
@@ -324,12 +316,20 @@ def eigenvector(spark, sf_dir):
     return rounded(C.eigenvector(D.user_seq(spark, sf_dir), epsilon=0, max_iter=8)[0], "x", digits=9)
 
 
-@query()
+def _paths(edges: str) -> str:
+    """Hops and number of shortest paths of all pairs, and of each source what depends on each vertex: walks of the least length are shortest paths."""
+    return f"""mm AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS m FROM {edges} WHERE src <> dst GROUP BY 1, 2), w(s, v, d, n) AS (SELECT id, id, 0, 1.0::DOUBLE FROM v UNION ALL SELECT s, dst, d + 1, sum(n * m) FROM w JOIN mm ON mm.src = w.v WHERE d < 9 GROUP BY s, dst, d),
+dist AS MATERIALIZED (SELECT s, v, min(d) AS d, arg_min(n, d) AS n FROM w GROUP BY s, v), dep AS MATERIALIZED (SELECT a.s, a.v, sum(a.n * b.n / c.n) AS dep FROM dist a JOIN dist b ON b.s = a.v JOIN dist c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE b.v <> a.v GROUP BY a.s, a.v)"""
+
+
+@query(f"WITH RECURSIVE {SEQ}, {_paths('e')} SELECT slots.id, round(coalesce(sum(dep), 0), 6) AS betweenness FROM slots LEFT JOIN dep ON dep.v = slots.id AND dep.s <> slots.id GROUP BY slots.id")
 def betweenness(spark, sf_dir):
     return rounded(C.betweenness(D.user_seq(spark, sf_dir))[0], "betweenness")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEQ}, {_paths("(SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)")}, arcs AS (SELECT DISTINCT src AS a, dst AS b FROM mm),
+share AS MATERIALIZED (SELECT a, b, sum(x.n / y.n * (1 + coalesce(dep, 0))) AS share FROM arcs JOIN dist x ON x.v = a JOIN dist y ON y.s = x.s AND y.v = b AND y.d = x.d + 1 LEFT JOIN dep ON dep.s = x.s AND dep.v = b GROUP BY a, b)
+SELECT edge_id, round((coalesce(p.share, 0) + coalesce(q.share, 0)) / 2, 6) AS betweenness FROM e LEFT JOIN share p ON p.a = src AND p.b = dst LEFT JOIN share q ON q.a = dst AND q.b = src""")
 def betweenness_edges(spark, sf_dir):
     return rounded(C.betweenness(D.user_seq(spark, sf_dir).undirected())[1], "betweenness")
 
@@ -376,33 +376,6 @@ def sbm_description_lengths(spark, sf_dir):
     return rounded(B.partition_dl(D.blocks(g)).join(B.edges_dl(g, D.blocks(g))), "partition_dl", "edges_dl")
 
 
-def _prices_sql(edges: str, directed: bool) -> str:
-    """Entropies before and after each move, in full."""
-    r, s = ("x.grp", "y.grp") if directed else ("least(x.grp, y.grp)", "greatest(x.grp, y.grp)")
-    loops = "" if directed else " - CASE WHEN r = s THEN m * ln(2) ELSE 0 END"
-    ends = "SELECT k, r AS grp, m AS p, 0 AS q FROM m UNION ALL SELECT k, s, 0, m FROM m"
-    term = "lgamma(sum(p) + 1) + lgamma(sum(q) + 1)" if directed else "lgamma(sum(p) + sum(q) + 1)"
-    return f"""WITH {edges}, moves AS (SELECT id AS k, id, (id + 3) % 8 AS grp FROM v WHERE id % 5 = 2 AND id < 60), b AS (SELECT k, v.id, CASE WHEN v.id = k THEN moves.grp ELSE v.id % 8 END AS grp FROM moves, v UNION ALL SELECT -1, id, id % 8 FROM v),
-m AS (SELECT x.k, {r} AS r, {s} AS s, count(*) AS m FROM e JOIN b x ON x.id = e.src JOIN b y ON y.id = e.dst AND y.k = x.k GROUP BY ALL), t AS (SELECT k, {term} AS t FROM ({ends}) GROUP BY k, grp),
-h AS (SELECT k, sum(x) AS h FROM (SELECT k, -lgamma(m + 1){loops} AS x FROM m UNION ALL SELECT k, t FROM t) GROUP BY k) SELECT k AS move_id, round(h - (SELECT h FROM h WHERE k = -1), 5) + 0.0 AS ds FROM h WHERE k >= 0"""
-
-
-def _moves(g: Graph) -> DataFrame:
-    return g.vertices.where((F.col("id") % 5 == 2) & (F.col("id") < 60)).select(F.col("id").alias("move_id"), "id", ((F.col("id") + 3) % 8).alias("to"))
-
-
-@query(_prices_sql(SEQ, True))
-def sbm_move_prices(spark, sf_dir):
-    g = D.user_seq(spark, sf_dir)
-    return rounded(B.move_prices(g, D.blocks(g), _moves(g)), "ds", digits=5).withColumn("ds", F.col("ds") + F.lit(0.0))
-
-
-@query(_prices_sql(SEQ, False))
-def sbm_move_prices_undirected(spark, sf_dir):
-    g = D.user_seq(spark, sf_dir).undirected()
-    return rounded(B.move_prices(g, D.blocks(g), _moves(g)), "ds", digits=5).withColumn("ds", F.col("ds") + F.lit(0.0))
-
-
 def _changed_pairs_sql(edges: str, directed: bool) -> str:
     """The price of a move of every vertex, from the pairs of groups that it changes and the edge ends of its two groups."""
     pair = "r, s" if directed else "least(r, s) AS r, greatest(r, s) AS s"
@@ -425,15 +398,13 @@ def _every_move(g: Graph) -> DataFrame:
 
 
 @query(_changed_pairs_sql(SEQ, True))
-def sbm_move_prices_whole(spark, sf_dir):
-    """A move of every vertex; sbm_move_prices has those of 12 at most."""
+def sbm_move_prices(spark, sf_dir):
     g = D.user_seq(spark, sf_dir)
     return rounded(B.move_prices(g, D.blocks(g), _every_move(g)), "ds", digits=5).withColumn("ds", F.col("ds") + F.lit(0.0))
 
 
 @query(_changed_pairs_sql(SEQ, False))
-def sbm_move_prices_undirected_whole(spark, sf_dir):
-    """A move of every vertex; sbm_move_prices_undirected has those of 12 at most."""
+def sbm_move_prices_undirected(spark, sf_dir):
     g = D.user_seq(spark, sf_dir).undirected()
     return rounded(B.move_prices(g, D.blocks(g), _every_move(g)), "ds", digits=5).withColumn("ds", F.col("ds") + F.lit(0.0))
 
@@ -481,10 +452,9 @@ def edge_list_round_trip(spark, sf_dir):
     return edgelist.read_plain(spark, path).select(F.col("dst").alias("edge_id"), "src", "dst")
 
 
-def _file_round_trip(spark, sf_dir, module, whole: bool = False) -> DataFrame:
-    """The edges of user_seq, or of a sample of them, written to a file of the format and read by a task, as (src, dst, weight)."""
+def _file_round_trip(spark, sf_dir, module) -> DataFrame:
+    """The edges of user_seq, written to a file of the format and read by a task, as (src, dst, weight)."""
     g = D.user_seq(spark, sf_dir)
-    g = g if whole else g.filtered(edge=F.col("edge_id") % 41 == 0).compact_edges()
     g = Graph(g.slots(), g.edges, g.vertex_bound, g.edge_bound)
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     write_bytes(spark, path, module.render(from_graph(g)))
@@ -493,39 +463,256 @@ def _file_round_trip(spark, sf_dir, module, whole: bool = False) -> DataFrame:
     return found.edges.select("src", "dst", weight.alias("weight"))
 
 
-SAMPLE = f"WITH {SEQ} SELECT src, dst, weight FROM e WHERE edge_id % 41 = 0"
+WHOLE = f"WITH {SEQ} SELECT src, dst, weight FROM e"
 
 
-@query(SAMPLE)
+@query(WHOLE)
 def binary_round_trip(spark, sf_dir):
     return _file_round_trip(spark, sf_dir, binary)
 
 
-@query(SAMPLE)
+@query(WHOLE)
 def graphml_round_trip(spark, sf_dir):
     return _file_round_trip(spark, sf_dir, graphml)
 
 
-@query(f"WITH {SEQ}, n AS (SELECT id, row_number() OVER (ORDER BY id::VARCHAR) - 1 AS k FROM slots) SELECT a.k AS src, b.k AS dst, weight FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE edge_id % 41 = 0")
+@query(f"WITH {SEQ}, n AS (SELECT id, row_number() OVER (ORDER BY id::VARCHAR) - 1 AS k FROM slots) SELECT a.k AS src, b.k AS dst, weight FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst")
 def dot_round_trip(spark, sf_dir):
     """DOT numbers vertices anew, by their names."""
     return _file_round_trip(spark, sf_dir, dot)
 
 
-WHOLE = f"WITH {SEQ} SELECT src, dst, weight FROM e"
+# ---- lookups, masks and views
 
 
-@query(WHOLE)
-def binary_round_trip_whole(spark, sf_dir):
-    return _file_round_trip(spark, sf_dir, binary, whole=True)
+@query(f"WITH {SEQ} SELECT event_id AS edge_id, src, dst FROM events LEFT JOIN e ON e.edge_id = event_id")
+def endpoints(spark, sf_dir):
+    ids = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("edge_id"))
+    return D.user_seq(spark, sf_dir).endpoints(ids)
 
 
-@query(WHOLE)
-def graphml_round_trip_whole(spark, sf_dir):
-    return _file_round_trip(spark, sf_dir, graphml, whole=True)
+@query(f"WITH {SEQ} SELECT event_id AS edge_id, user_id AS v, CASE WHEN src = user_id THEN dst WHEN dst = user_id THEN src END AS other FROM events LEFT JOIN e ON e.edge_id = event_id")
+def opposite(spark, sf_dir):
+    pairs = D.table(spark, sf_dir, "events").select(F.col("event_id").alias("edge_id"), F.col("user_id").alias("v"))
+    return D.user_seq(spark, sf_dir).opposite(pairs)
 
 
-@query(f"WITH {SEQ}, n AS (SELECT id, row_number() OVER (ORDER BY id::VARCHAR) - 1 AS k FROM slots) SELECT a.k AS src, b.k AS dst, weight FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst")
-def dot_round_trip_whole(spark, sf_dir):
-    """DOT numbers vertices anew, by their names."""
-    return _file_round_trip(spark, sf_dir, dot, whole=True)
+@query(f"WITH {SEQ} SELECT edge_id, dst AS rev_src, src AS rev_dst, dst AS near, src AS far FROM e")
+def edge_turns(spark, sf_dir):
+    e, (a, b) = D.user_seq(spark, sf_dir).edges, reversed_edge(F.col("src"), F.col("dst"))
+    near, far = anchored_at(F.col("src"), F.col("dst"), F.col("dst"))
+    return e.select("edge_id", a.alias("rev_src"), b.alias("rev_dst"), near.alias("near"), far.alias("far"))
+
+
+@query(f"WITH {SEQ}, a AS (SELECT min(id) AS v FROM v) SELECT 'out' AS half, dst AS other, edge_id FROM e, a WHERE src = v UNION ALL SELECT 'in', src, edge_id FROM e, a WHERE dst = v")
+def vertex_block(spark, sf_dir):
+    g = D.user_seq(spark, sf_dir)
+    return g.block(_first(g))
+
+
+@query(f"WITH {SEQ} SELECT dst AS v, src AS other, edge_id FROM e")
+def in_incidence(spark, sf_dir):
+    return D.user_seq(spark, sf_dir).into().select("v", "other", "edge_id")
+
+
+def _masked(spark, sf_dir) -> Graph:
+    g = D.user_seq(spark, sf_dir)
+    return g.masked(g.slots().select("id", (F.col("id") % 5).alias("keep")), spark.range(g.edge_bound).select(F.col("id").alias("edge_id"), (F.col("id") % 3).alias("keep")))
+
+
+MASKED = SEQ + ", fe AS (SELECT * FROM e WHERE edge_id % 3 <> 0 AND src % 5 <> 0 AND dst % 5 <> 0), fv AS (SELECT id FROM v WHERE id % 5 <> 0)"
+
+
+@query(f"WITH {MASKED} SELECT edge_id, src, dst FROM fe")
+def masked_edges(spark, sf_dir):
+    return _masked(spark, sf_dir).edges.select("edge_id", "src", "dst")
+
+
+@query(f"""WITH {MASKED}, x AS (SELECT id, (SELECT count(*) FROM e WHERE src = v.id) AS o, (SELECT count(*) FROM e WHERE dst = v.id) AS i FROM v), y AS (SELECT id, (SELECT count(*) FROM fe WHERE src = fv.id) AS o, (SELECT count(*) FROM fe WHERE dst = fv.id) AS i FROM fv)
+SELECT 'directed' AS name, id, o::BIGINT AS out_edges FROM x UNION ALL SELECT 'reversed', id, i FROM x UNION ALL SELECT 'undirected', id, o + i FROM x UNION ALL SELECT 'filtered directed', id, o FROM y UNION ALL SELECT 'filtered reversed', id, i FROM y UNION ALL SELECT 'filtered undirected', id, o + i FROM y""")
+def six_views(spark, sf_dir):
+    """The out-degrees of every vertex, by one kernel on each of the six views."""
+
+    def kernel(view):
+        counts = view.out().groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("out_edges"))
+        return view.vertices.select(F.lit(view.view).alias("name"), "id").join(counts, "id", "left").select("name", "id", F.coalesce("out_edges", F.lit(0)).cast("long").alias("out_edges"))
+
+    out = None
+    for g in (D.user_seq(spark, sf_dir), _masked(spark, sf_dir)):
+        for view in (g, g.reversed(), g.undirected()):
+            found = view.dispatch(kernel)
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"WITH RECURSIVE {SEQ}, x AS MATERIALIZED (SELECT src, dst FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0 AND weight > 40 AND edge_id % 4 <> 1), {_bfs('SELECT (SELECT min(id) FROM v WHERE id % 7 <> 0), 0', ('src', 'dst'), 'x')} {DISTANCES}")
+def filtered_twice_distances(spark, sf_dir):
+    """Vertices are filtered, then edges, then edges are taken away."""
+    g = D.user_seq(spark, sf_dir).filtered(F.col("id") % 7 != 0).filtered(edge=F.col("weight") > 40)
+    g = g.remove_edges(g.edges.where(F.col("edge_id") % 4 == 1).select("edge_id"))
+    return V.shortest_distances(g, _first(g))
+
+
+@query(f"""WITH RECURSIVE {SEQ}, x AS MATERIALIZED (SELECT src, dst, min(weight) AS w FROM e WHERE weight > 20 AND dst % 7 <> 0 AND (src % 7 <> 0 OR src = (SELECT min(id) FROM v WHERE id % 7 = 0)) GROUP BY src, dst),
+r(id, d, k) AS (SELECT (SELECT min(id) FROM v WHERE id % 7 = 0), 0.0::DOUBLE, 0 UNION ALL SELECT id, min(d) AS d, k FROM (SELECT x.dst AS id, r.d + x.w AS d, r.k + 1 AS k FROM r JOIN x ON x.src = r.id WHERE r.k < 14) GROUP BY id, k)
+SELECT slots.id, round(coalesce(min(d), 'inf'::DOUBLE), 6) AS distance FROM slots LEFT JOIN r ON r.id = slots.id AND r.id % 7 <> 0 GROUP BY slots.id""")
+def dijkstra_from_filtered(spark, sf_dir):
+    """From a source that the filter took away, which may be left and is not reached."""
+    whole = D.user_seq(spark, sf_dir)
+    source = whole.vertices.where(F.col("id") % 7 == 0).agg(F.min("id")).first()[0]
+    return rounded(V.dijkstra(_filtered(spark, sf_dir), source, "weight"), "distance")
+
+
+@query(f"""WITH {SEQ}, c AS (SELECT edge_id, min(struct_pack(v := v, half := half)) AS f FROM (SELECT edge_id, src AS v, 0 AS half FROM e WHERE src IN (1, 2) UNION ALL SELECT edge_id, dst, 1 FROM e WHERE dst IN (1, 2) AND src <> dst) GROUP BY edge_id),
+o AS (SELECT edge_id, row_number() OVER (ORDER BY f.v DESC, f.half DESC, edge_id DESC) - 1 AS k FROM c), n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_nationkey % 3 + 3 AS src, n_nationkey % 4 + 4 AS dst FROM nation), m AS (SELECT count(*) AS m FROM o), top AS (SELECT max(edge_id) + 1 AS t FROM e)
+SELECT edge_id, src, dst FROM e WHERE edge_id NOT IN (SELECT edge_id FROM o) UNION ALL SELECT coalesce(o.edge_id, t + n.k - m), src::BIGINT, dst::BIGINT FROM n LEFT JOIN o USING (k), m, top""")
+def clear_then_add(spark, sf_dir):
+    """The ids of a cleared vertex's edges are given out anew, the last released first."""
+    g = D.user_seq(spark, sf_dir).clear_vertices([1, 2])
+    new = D.table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 3 + 3).cast("long").alias("src"), (F.col("n_nationkey") % 4 + 4).cast("long").alias("dst"))
+    return g.add_edges(new, ["n_nationkey"]).edges.select("edge_id", "src", "dst")
+
+
+@query(f"WITH RECURSIVE {GEO}, r(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id WHERE r.depth < (SELECT min(d) FROM (SELECT 1 AS d FROM e WHERE src = 0 AND dst % 4 = 1))) SELECT id, min(depth)::BIGINT AS depth FROM r GROUP BY id")
+def bfs_stopped(spark, sf_dir):
+    """From region 0 until a nation is reached."""
+    return V.bfs(D.geo(spark, sf_dir), [0], stop=F.col("id") % 4 == 1)
+
+
+@query(f"WITH RECURSIVE {GEO}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, root) AS (SELECT id, id FROM v UNION SELECT u.dst, r.root FROM r JOIN u ON u.src = r.id), c AS (SELECT id, min(root) AS root FROM r GROUP BY id) SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM c")
+def component_labels(spark, sf_dir):
+    return K.labels(K.components(D.geo(spark, sf_dir).undirected()))
+
+
+@query(f"WITH RECURSIVE {GEO}, l(id, d) AS (SELECT id, 0 FROM v UNION SELECT e.src, l.d + 1 FROM l JOIN e ON e.dst = l.id), m AS (SELECT id, max(d) AS d FROM l GROUP BY id) SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS label FROM m")
+def strong_labels(spark, sf_dir):
+    """Of a forest, where every vertex is a component: leaves first."""
+    g = D.geo(spark, sf_dir)
+    return K.strong_labels(g, g.vertices.select("id", F.col("id").alias("root")))
+
+
+# ---- columns
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 9 ELSE ((o_orderkey * 31) % 65536 + 65536 + 32768) % 65536 - 32768 END AS held, CASE WHEN o_orderkey % 3 = 0 THEN '9' ELSE (((o_orderkey * 31) % 65536 + 65536 + 32768) % 65536 - 32768)::VARCHAR END AS text FROM orders")
+def copied_and_wrapped(spark, sf_dir):
+    """A column copied to another kind, then written and read as text."""
+    df = D.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 31).alias("x"))
+    df = copy_prop(df, "o_orderkey", "x", Kind.INT64, "held", Kind.INT16)
+    wrap = DynWrap("held", Kind.INT16, Kind.STRING)
+    df = wrap.put(df, F.lit("9"), F.col("o_orderkey") % 3 == 0)
+    df = wrap.put(df, F.lit("none"), F.col("o_orderkey") % 3 == 1)  # no number: changes nothing
+    return df.select("o_orderkey", F.col("held").cast("long").alias("held"), wrap.get().alias("text"))
+
+
+@query("SELECT CASE WHEN min(o_orderkey) FILTER (WHERE o_orderkey % 10 = 7) IS NULL THEN NULL ELSE min(o_orderkey) FILTER (WHERE o_orderkey % 10 = 7) END AS first_bad, count(*) FILTER (WHERE o_orderkey % 10 <> 7) AS made FROM orders")
+def copy_failures(spark, sf_dir):
+    """The smallest key that can't be converted, and how many can."""
+    text = F.when(F.col("o_orderkey") % 10 == 7, F.lit("1.5")).otherwise(F.col("o_orderkey").cast("string"))
+    out, first = copied(D.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("x")), "o_orderkey", "x", Kind.STRING, "y", Kind.INT64)
+    return out.agg(F.lit(first).cast("long").alias("first_bad"), F.count("y").alias("made"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR || repeat('0', 18) ELSE '0.00000' || o_orderkey::VARCHAR END AS plain, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS parsed, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS total FROM orders WHERE o_orderkey % 10 <> 0")
+def conversions_of_text(spark, sf_dir):
+    """Doubles print without exponents; a line break is no part of a number; a vector fails as a whole."""
+    k = F.col("o_orderkey")
+    x = F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit("e18"))).otherwise(F.concat(F.lit("0.00000"), k.cast("string"))).cast("double")
+    text = F.when(k % 3 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit("\n")))
+    pair = convert(F.array(text, F.lit("1")), Kind.VECTOR_STRING, Kind.VECTOR_INT64)
+    # ids that end in 0 would lose it behind the point
+    df = D.table(spark, sf_dir, "orders").where(k % 10 != 0)
+    return df.select(k, convert(x, Kind.DOUBLE, Kind.STRING).alias("plain"), convert(text, Kind.STRING, Kind.INT64).alias("parsed"), (pair[0] + pair[1]).alias("total"))
+
+
+@query("SELECT name FROM (VALUES ('bool'), ('int16_t'), ('int32_t'), ('int64_t'), ('double'), ('long double'), ('string'), ('vector<bool>'), ('vector<int16_t>'), ('vector<int32_t>'), ('vector<int64_t>'), ('vector<double>'), ('vector<long double>'), ('vector<string>'), ('python::object')) t(name)")
+def value_types(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in properties.value_types()], "name string")
+
+
+@query(f"WITH {SEQ} SELECT slots.id, CASE WHEN slots.id = 3 THEN 41 WHEN v.id IS NULL THEN 0 ELSE slots.id * 2 END AS value FROM slots LEFT JOIN v ON v.id = slots.id")
+def property_map(spark, sf_dir):
+    """A map over every slot: a column put at once, and a slot set alone."""
+    g = D.user_seq(spark, sf_dir)
+    held = properties.GraphBuilder(spark, g).new_vertex_property("int64_t")
+    held.put(g.vertices.select("id", (F.col("id") * 2).alias("value")))
+    held[3] = 41
+    return held.frame()
+
+
+# ---- reductions
+
+
+@query(f"WITH {SEQ}, n AS (SELECT count(*) AS n, (count(*) + 99) // 100 AS c FROM e), k AS (SELECT weight, CASE WHEN edge_id < (n % c) * (n // c + 1) THEN edge_id // (n // c + 1) ELSE n % c + (edge_id - (n % c) * (n // c + 1)) // (n // c) END AS chunk FROM e, n) SELECT chunk, round(sum(weight), 4) AS partial FROM k GROUP BY chunk")
+def chunk_partials(spark, sf_dir):
+    g = D.user_seq(spark, sf_dir)
+    plan = R.Plan(g.num_edges(), 100)
+    return rounded(R.partials(g.edges, plan, "edge_id", "weight", lambda v, s: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)), "partial", digits=4)
+
+
+@query(f"WITH {SEQ}, n AS (SELECT count(*) AS n FROM e) SELECT round(sum(weight), 3) AS result, round(sum(weight), 3) AS by_lanes FROM e")
+def reductions(spark, sf_dir):
+    """Chunks folded in order, and an array summed by lanes."""
+    g = D.user_seq(spark, sf_dir)
+    plan = R.Plan(g.num_edges(), 500)
+    add = lambda a, x: a + x
+    one = R.try_det_reduce(g.edges, plan, "edge_id", "weight", lambda v, s: F.aggregate(v, F.lit(0.0), add), lambda v: F.when(F.exists(v, lambda x: x < 0), F.lit("a weight is negative")), F.lit(0.0), add)
+    two = R.det_reduce(g.edges, plan, "edge_id", "weight", lambda v, s: R.chunked_sum(v, 8), F.lit(0.0), add)
+    return rounded(one.join(two.withColumnRenamed("result", "by_lanes")), "result", "by_lanes", digits=3)
+
+
+# ---- block-model states
+
+
+def _dense_sql(edges: str, directed: bool) -> str:
+    """Dense entropies before and after each move, in full."""
+    r, s = ("x.grp", "y.grp") if directed else ("least(x.grp, y.grp)", "greatest(x.grp, y.grp)")
+    places = "a.w * b.w" if directed else "CASE WHEN r = s THEN a.w * (a.w + 1) / 2 ELSE a.w * b.w END"
+    return f"""WITH {edges}, b AS MATERIALIZED (SELECT k.id AS k, v.id, CASE WHEN v.id = k.id THEN (v.id + 3) % 8 ELSE v.id % 8 END AS grp FROM v k, v UNION ALL SELECT -1, id, id % 8 FROM v),
+w AS (SELECT k, grp, count(*) AS w FROM b GROUP BY ALL), m AS (SELECT x.k, {r} AS r, {s} AS s, count(*) AS m FROM e JOIN b x ON x.id = e.src JOIN b y ON y.id = e.dst AND y.k = x.k GROUP BY ALL),
+p AS (SELECT m.k, m, {places} AS n FROM m JOIN w a ON a.k = m.k AND a.grp = r JOIN w b ON b.k = m.k AND b.grp = s),
+h AS (SELECT k, sum(CASE WHEN n - 1 <= 0 THEN 0 ELSE lgamma(n + m) - lgamma(m + 1) - lgamma(n) END) AS h FROM p GROUP BY k) SELECT k AS move_id, round(h - (SELECT h FROM h WHERE k = -1), 4) + 0.0 AS ds FROM h WHERE k >= 0"""
+
+
+@query(_dense_sql(SEQ, True))
+def sbm_dense_prices(spark, sf_dir):
+    g = D.user_seq(spark, sf_dir)
+    state = S.BlockState.of(g, D.blocks(g))
+    prices = state.price(state.record(_every_move(g)), S.EntropyParams(deg_corr=False), dense=True)
+    return rounded(prices, "ds", digits=4).withColumn("ds", F.col("ds") + F.lit(0.0))
+
+
+@query(_dense_sql(SEQ, False))
+def sbm_dense_prices_undirected(spark, sf_dir):
+    g = D.user_seq(spark, sf_dir).undirected()
+    return rounded(S.dense_prices(g, D.blocks(g), _every_move(g)), "ds", digits=4).withColumn("ds", F.col("ds") + F.lit(0.0))
+
+
+@query(f"WITH {SEQ}, a AS (SELECT min(id) AS a FROM v), b AS (SELECT id, CASE WHEN id = a THEN (a + 3) % 8 WHEN id % 3 = 1 THEN (id + 5) % 8 ELSE id % 8 END AS grp FROM v, a) SELECT x.grp AS r, y.grp AS s, count(*) AS m FROM e JOIN b x ON x.id = e.src JOIN b y ON y.id = e.dst GROUP BY 1, 2")
+def sbm_commits(spark, sf_dir):
+    """A move committed with its deltas, then many at once, each with its audits."""
+    g = D.user_seq(spark, sf_dir)
+    state, a = S.BlockState.of(g, D.blocks(g)), _first(g)
+    one = state.record(spark.createDataFrame([(a, a, (a + 3) % 8)], "move_id long, id long, to long"))
+    state.audit_price(one)
+    state = state.commit(one).after
+    state.audit()
+    many = g.vertices.where((F.col("id") % 3 == 1) & (F.col("id") != a)).select(F.col("id").alias("move_id"), "id", ((F.col("id") + 5) % 8).alias("to"))
+    state = state.commit(state.record(many)).after
+    state.audit()
+    return state.pairs.select("r", "s", "m")
+
+
+@query(f"WITH {SEQ}, d AS (SELECT id AS move_id, (id + 3) % 8 AS t, id % 8 AS f FROM v), h AS (SELECT src AS id, dst % 8 AS x, true AS ahead FROM e WHERE src <> dst UNION ALL SELECT dst, src % 8, false FROM e WHERE src <> dst), l AS (SELECT src AS id FROM e WHERE src = dst), z AS (SELECT move_id, g, x, ahead, c FROM d JOIN h ON h.id = move_id, LATERAL (SELECT f AS g, -1 AS c UNION ALL SELECT t, 1) y), q AS (SELECT move_id, (CASE WHEN ahead THEN g ELSE x END) % 3 AS r, (CASE WHEN ahead THEN x ELSE g END) % 3 AS s, c FROM z UNION ALL SELECT move_id, g % 3, g % 3, c FROM d JOIN l ON l.id = move_id, LATERAL (SELECT f AS g, -1 AS c UNION ALL SELECT t, 1) y) SELECT move_id, r, s, sum(c)::BIGINT AS d FROM q GROUP BY ALL HAVING sum(c) <> 0")
+def sbm_propagate(spark, sf_dir):
+    """The deltas of a move of every vertex, on the next level, of three groups."""
+    g = D.user_seq(spark, sf_dir)
+    up = spark.range(8).select("id", (F.col("id") % 3).alias("grp"))
+    return S.propagate(B.move_deltas(g, D.blocks(g), _every_move(g)), up)
+
+
+@query(f"WITH {SEQ}, a AS (SELECT min(id) AS a FROM v), n AS (SELECT count(DISTINCT id % 8) AS n FROM v) SELECT round(-ln(n), 9) AS stay, round(-ln(n), 9) AS go, round(-ln(n + 1), 9) AS fresh FROM n")
+def sbm_move_prob(spark, sf_dir):
+    g = D.user_seq(spark, sf_dir)
+    state, a = S.BlockState.of(g, D.blocks(g)), _first(g)
+    return spark.createDataFrame([tuple(round(state.move_prob(a, to), 9) for to in (a % 8, (a + 1) % 8, 99))], "stay double, go double, fresh double")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import math
+import re
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
@@ -27,6 +29,9 @@ TYPES = {
     "vector_string": Kind.VECTOR_STRING,
     "python_object": Kind.OBJECT,
 }
+#: Spellings of numbers and truth values. Fixed values.
+DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity|nan)"
+BOOLEANS = {"true": 1, "True": 1, "false": 0, "False": 0}
 NAMES = {k: name for name, k in TYPES.items()}
 VERTEX_ID, EDGE_ID = "_graphml_vertex_id", "_graphml_edge_id"
 
@@ -56,15 +61,74 @@ def decode(kind: Kind, text: str):
     if kind is Kind.OBJECT:
         return base64.b64decode(text)
     if kind is Kind.LONG_DOUBLE:
-        raw = bytes.fromhex(text) if len(text) == 32 else b""
-        if len(raw) != 16:
-            raise ValueError(text)
-        return raw
+        return long_double(text)
     if kind is Kind.DOUBLE:
-        return float.fromhex(text) if "0x" in text.lower() else float(text)
-    if kind is Kind.BOOL:
-        return {"true": 1, "false": 0}[text.lower()] if text.lower() in ("true", "false") else int(text) & 255
-    return int(text)
+        text = text.strip()
+        if re.fullmatch(r"[+-]?0[xX].*", text):
+            return float.fromhex(text)
+        if not re.fullmatch(DECIMAL, text, re.I):
+            raise ValueError(text)
+        return float(text)
+    if kind is Kind.BOOL and text in BOOLEANS:
+        return BOOLEANS[text]
+    if not re.fullmatch(r"[+-]?[0-9]+", text):
+        raise ValueError(text)
+    value, bits = int(text), 32 if kind is Kind.BOOL else kind.bits
+    if not -(1 << bits - 1) <= value < 1 << bits - 1:
+        raise ValueError(text)
+    return value & 255 if kind is Kind.BOOL else value
+
+
+def long_double(text: str) -> bytes:
+    """An 80-bit extended float in 16 bytes, from decimal digits, which go by way of a double, or hexadecimal ones."""
+    text = text.strip().lower()
+    sign, body = (0x8000, text[1:]) if text.startswith("-") else (0, text.removeprefix("+"))
+    if hexa := re.fullmatch(r"0x([0-9a-f]*)\.?([0-9a-f]*)(?:p([+-]?[0-9]+))?", body):
+        whole, part, power = hexa[1], hexa[2], int(hexa[3] or 0)
+        if not whole + part:
+            raise ValueError(text)
+        value, power = int(whole + part, 16), power - 4 * len(part)
+        over = value.bit_length() - 64
+        if over > 0:  # more digits than there is room for: to the nearest, halves to even
+            rest, value = value & (1 << over) - 1, value >> over
+            value += rest > 1 << over - 1 or rest == 1 << over - 1 and value & 1
+            power += over
+        return _extended(sign, value, power)
+    if not re.fullmatch(DECIMAL, body, re.I) or body[:1] in "+-":
+        raise ValueError(text)
+    x = float(body)
+    if math.isnan(x):
+        return (0xC000 << 48).to_bytes(8, "little") + (sign | 0x7FFF).to_bytes(2, "little") + bytes(6)
+    if math.isinf(x):
+        return (1 << 63).to_bytes(8, "little") + (sign | 0x7FFF).to_bytes(2, "little") + bytes(6)
+    m, e = math.frexp(x)
+    return _extended(sign, int(m * (1 << 64)), e - 64)
+
+
+def _extended(sign: int, value: int, power: int) -> bytes:
+    """value times 2 to a power: 64 bits of which the highest is 1, and the exponent with a bias of 16383."""
+    if value:
+        up = 64 - value.bit_length()
+        value, e = value << up, power - up + 63 + 16383
+        if e >= 0x7FFF:
+            value, e = 1 << 63, 0x7FFF
+        elif e <= 0:  # less than the least exponent: bits fall off
+            value, e = value >> min(64, 1 - e), 0
+        sign |= e
+    return value.to_bytes(8, "little") + sign.to_bytes(2, "little") + bytes(6)
+
+
+def long_double_text(raw: bytes) -> str:
+    """Hexadecimal digits that long_double reads back to the same bits."""
+    value, top = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:10], "little")
+    sign, e = "-" if top & 0x8000 else "", top & 0x7FFF
+    if e == 0x7FFF:
+        return sign + ("inf" if value == 1 << 63 else "nan")
+    if not value:
+        return sign + "0x0p+0"
+    digits = f"{value:016x}"
+    part = digits[1:].rstrip("0")
+    return f"{sign}0x{digits[0]}{'.' if part else ''}{part}p{(e or 1) - 16386:+d}"
 
 
 def encode(kind: Kind, value) -> str:
@@ -73,7 +137,7 @@ def encode(kind: Kind, value) -> str:
     if kind is Kind.OBJECT:
         return base64.b64encode(value).decode()
     if kind is Kind.LONG_DOUBLE:
-        return bytes(value).hex()
+        return long_double_text(bytes(value))
     return f"{value:.17g}" if kind is Kind.DOUBLE else str(value)
 
 
@@ -85,7 +149,8 @@ def parse(raw: bytes) -> Document:
     doc = Document(0, [], False)
     ids: dict[str, int] = {}
     columns: dict[tuple[str, str], Column] = {}
-    state = {"domain": "graph", "at": 0, "key": None, "text": None, "hint": False, "free": False}
+    edge_ids: list[str] = []
+    state = {"domain": "graph", "at": 0, "key": None, "text": None, "hint": False, "free": False, "free_edges": False}
 
     def fail(what):
         raise FormatError(f"line {parser.CurrentLineNumber}: {what}")
@@ -99,7 +164,9 @@ def parse(raw: bytes) -> Document:
         return ids[name]
 
     def put(key, domain, at, text):
-        name, _, kind = keys[key]
+        name, declared, kind = keys[key]
+        if declared not in (domain, "all"):
+            fail(f"key {key} is for {declared}, not for {domain}")
         c = columns.setdefault((domain, name), Column(name, domain, kind, []))
         c.values += [_zero(kind) for _ in range(at + 1 - len(c.values))]
         try:
@@ -131,6 +198,8 @@ def parse(raw: bytes) -> Document:
             state["hint"] |= attributes.get("directed") == "true"
             doc.edges.append((vertex(attributes["source"]), vertex(attributes["target"])))
             state["domain"], state["at"] = "edge", len(doc.edges) - 1
+            edge_ids.append(attributes.get("id", f"e{state['at']}"))
+            state["free_edges"] |= edge_ids[-1] != f"e{state['at']}"
             put_defaults("edge", state["at"])
         elif tag == "data":
             if attributes.get("key") not in keys:
@@ -165,6 +234,8 @@ def parse(raw: bytes) -> Document:
     doc.columns = list(columns.values())
     if state["free"]:
         doc.columns.append(Column(VERTEX_ID, "vertex", Kind.STRING, list(ids)))
+    if state["free_edges"]:
+        doc.columns.append(Column(EDGE_ID, "edge", Kind.STRING, edge_ids))
     doc.directed = state["hint"]
     return doc
 
@@ -174,6 +245,8 @@ def render(doc: Document):
     doc.check()
     own = doc.column(VERTEX_ID, "vertex")
     name = (lambda v: own.values[v]) if own else (lambda v: f"n{v}")
+    called = doc.column(EDGE_ID, "edge")
+    edge_name = (lambda i: called.values[i]) if called else (lambda i: f"e{i}")
     columns = sorted((c for c in doc.columns if c.name not in (VERTEX_ID, EDGE_ID)), key=lambda c: (("graph", "vertex", "edge").index(c.domain), c.name))
     yield b'<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n'
     for i, c in enumerate(columns):
@@ -189,5 +262,5 @@ def render(doc: Document):
     for v in range(doc.n):
         yield f"    <node id={quoteattr(name(v))}>{''.join(data('vertex', v))}</node>\n".encode()
     for i, (a, b) in enumerate(doc.edges):
-        yield f'    <edge id="e{i}" source={quoteattr(name(a))} target={quoteattr(name(b))}>{"".join(data("edge", i))}</edge>\n'.encode()
+        yield f'    <edge id={quoteattr(edge_name(i))} source={quoteattr(name(a))} target={quoteattr(name(b))}>{"".join(data("edge", i))}</edge>\n'.encode()
     yield b"  </graph>\n</graphml>\n"

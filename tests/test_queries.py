@@ -68,10 +68,10 @@ def test_components_are_of_every_edge(spark, walk):
                 if a in r:
                     r.add(b)
     strong = {i: min(j for j in reach[i] if i in reach[j]) for i in range(USERS + 1)}
-    assert {r.id: r.root for r in QUERIES["strong_components_whole"](spark, folder).collect()} == strong
+    assert {r.id: r.root for r in QUERIES["strong_components"](spark, folder).collect()} == strong
     root = {i: min(j for j in range(USERS + 1) if i in reach[j]) for i in range(USERS + 1)}
     best = min(Counter(root.values()).items(), key=lambda x: (-x[1], x[0]))[0]
-    assert {r.id: r.inside for r in QUERIES["largest_component_whole"](spark, folder).collect()} == {i: int(root[i] == best) for i in root}
+    assert {r.id: r.inside for r in QUERIES["largest_component"](spark, folder).collect()} == {i: int(root[i] == best) for i in root}
 
 
 def test_is_dag_takes_every_edge(spark, walk, monkeypatch):
@@ -99,7 +99,7 @@ def test_moves_of_every_vertex_are_priced(spark, walk, undirected):
         return sum(math.lgamma(k + 1) for c in ends for k in c.values()) - sum(math.lgamma(k + 1) for k in pairs.values()) - loops
 
     b = {i: i % 8 for i in range(USERS + 1)}
-    found = {r.move_id: r.ds for r in QUERIES["sbm_move_prices_undirected_whole" if undirected else "sbm_move_prices_whole"](spark, folder).collect()}
+    found = {r.move_id: r.ds for r in QUERIES["sbm_move_prices_undirected" if undirected else "sbm_move_prices"](spark, folder).collect()}
     assert found == pytest.approx({i: entropy(b | {i: (i + 3) % 8}) - entropy(b) for i in b}, abs=2e-5)
 
 
@@ -107,7 +107,7 @@ def test_moves_of_every_vertex_are_priced(spark, walk, undirected):
 def test_whole_graphs_are_written_and_read(spark, walk, name):
     """Vertices are 0 to 9, so that DOT's order by name is that of the ids."""
     folder, edges = walk
-    found = QUERIES[f"{name}_round_trip_whole"](spark, folder)
+    found = QUERIES[f"{name}_round_trip"](spark, folder)
     assert sorted(map(tuple, found.collect())) == sorted((a, b, float(k % 5 + 1)) for k, (a, b) in enumerate(edges))
 
 
