@@ -20,6 +20,8 @@ GRAM = 32
 SEGMENT = 512
 #: Bytes of texts that are cut into segments at once: what numpy makes of them should stay in a core's cache.
 CUT_BYTES = 1 << 17
+#: Bytes of texts whose segments a task holds at once.
+GIVEN_BYTES = 1 << 20
 #: Bytes that are put into one suffix array; the segments of a key that have more are split.
 SHARD_BYTES = 400_000
 #: By how many places of its gram the strings of a split key may differ, split after split.
@@ -253,18 +255,22 @@ def find(docs: DataFrame, width: int = WIDTH, limit: int = SHARD_BYTES, text_col
     owner_of = F.coalesce(F.xxhash64("doc_id") if "doc_id" in docs.columns else F.lit(0), F.lit(0))
     texts = docs.select(F.xxhash64(text).alias("f"), F.xxhash64(F.lit(7), text).alias("h"), owner_of.alias("d"), text.alias("text")).where(F.octet_length("text") >= width)
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = text_bytes(batch.column(2))
-        f, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        parts = []
-        for a, b in runs(offsets, CUT_BYTES):
-            key, x, y, row, start, n, again = segments(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-            parts.append((key.view(np.int64), x.view(np.int64), y.view(np.int64), f[a + row], h[a + row], start, n, again))
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 8
-        kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, bool)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, kinds, strict=True)], ["key", "x", "y", "f", "h", "start", "n", "again"])
-
-    places = work.save(map_arrow(texts.select("f", "h", "text"), cut, "key long, x long, y long, f long, h long, start int, n int, again boolean"), "places")
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, bool)
+
+    def cut(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            f, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for x, y in runs(offsets, GIVEN_BYTES):  # what is found in so many bytes is given out before the next
+                parts = []
+                for a, b in runs(offsets[x : y + 1], CUT_BYTES):
+                    own = offsets[x + a : x + b + 1]
+                    key, c1, c2, row, start, n, again = segments(data[own[0] : own[-1]], own - own[0], width)
+                    row += x + a
+                    parts.append((key.view(np.int64), c1.view(np.int64), c2.view(np.int64), f[row], h[row], start, n, again))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts), kinds, strict=True)], ["key", "x", "y", "f", "h", "start", "n", "again"])
+
+    places = work.save(texts.select("f", "h", "text").mapInArrow(cut, "key long, x long, y long, f long, h long, start int, n int, again boolean"), "places")
     ends = [fn(c).alias(f"{c}{k}") for c in ("x", "y") for k, fn in enumerate((F.min, F.max))]
     more = places.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.max("again").alias("again"), *ends).where((F.col("all") > 1) | F.col("again"))
     more = more.select("key", ((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")) | (F.col("all") == 1)).alias("several"))
@@ -284,13 +290,15 @@ def find(docs: DataFrame, width: int = WIDTH, limit: int = SHARD_BYTES, text_col
             for i in ids:
                 fresh.append(i not in done)
                 done.add(i)
-            batch = batch.filter(pa.array(fresh, pa.bool_()))
-            data, offsets = text_bytes(batch.column(2))
-            lists = batch.column(3)
-            flat, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            start, n = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-            key, x, y, c = (flat.field(i) for i in (2, 3, 4, 5))
-            yield pa.RecordBatch.from_arrays([key, x, y, key, c, _pieces(data, offsets[row] + start, n + width - 1)], ["key", "x", "y", "g", "c", "bytes"])
+            whole = batch.filter(pa.array(fresh, pa.bool_()))
+            for a, b in runs(text_bytes(whole.column(2))[1], GIVEN_BYTES):
+                part = whole.slice(a, b - a)
+                data, offsets = text_bytes(part.column(2))
+                lists = part.column(3)
+                flat, row = lists.flatten(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                start, n = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                key, x, y, c = (flat.field(i) for i in (2, 3, 4, 5))
+                yield pa.RecordBatch.from_arrays([key, x, y, key, c, _pieces(data, offsets[row] + start, n + width - 1)], ["key", "x", "y", "g", "c", "bytes"])
 
     strings = texts.join(wanted, ["f", "h", "d"]).select("f", "h", "text", "w").mapInArrow(taken, "key long, x long, y long, g long, c long, bytes binary")
     strings = work.save(strings, "strings")
