@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Workspace, map_arrow, mix, prefix_hash, runs, span_hash, text_bytes, word_spans
+from .common import CHUNK_BYTES, LOWER, Workspace, map_arrow, mix, prefix_hash, runs, span_hash, text_bytes, word_spans
 from .components import components
 
 PERMUTATIONS = 120
@@ -108,7 +108,7 @@ def _signed(docs: DataFrame, sim: Similarity) -> DataFrame:
         n = batch.num_rows
         size, prints = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
         sketch, keys = [], []
-        for a, b in runs(offsets):
+        for a, b in runs(offsets, CHUNK_BYTES // 4):
             h, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], sim.shingle)
             size[a:b] = np.diff(bounds)
             full = np.flatnonzero(size[a:b])
@@ -149,7 +149,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame
         good = np.zeros(batch.num_rows, bool)
         sides = [text_bytes(batch.column(i)) for i in (2, 3)]
         total = sides[0][1] + sides[1][1]
-        for a, b in runs(total):
+        for a, b in runs(total, CHUNK_BYTES // 4):
             (x, xb), (y, yb) = (shingle_sets(data[o[a] : o[b]], o[a : b + 1] - o[a], sim.shingle) for data, o in sides)
             for i in range(b - a):
                 p, q = x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]
