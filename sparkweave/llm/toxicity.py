@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, kept_rows, runs, text_bytes, with_columns
+from .common import CHUNK_BYTES, fold, kept_rows, runs, text_bytes, with_columns
 from .subwords import means, words_of
 from .training import Adam, fitted, sampled, sigmoid, texts_and_labels
 
@@ -28,7 +28,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, bucket and weight of every subword; a text's words count alike, and a word's n-grams."""
     data, offsets = text_bytes(texts)
     out = []
-    for a, b in runs(offsets):
+    for a, b in runs(offsets, CHUNK_BYTES // 2):
         words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         owner, bucket = words.ngrams(LENGTHS, BUCKETS)
         first = np.searchsorted(owner, np.arange(len(words.hashes) + 1))
@@ -82,7 +82,7 @@ def folded(model: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
 def score_texts(texts: pa.Array, odds: np.ndarray, bias: float) -> np.ndarray:
     data, offsets = text_bytes(texts)
     out = np.zeros(len(offsets) - 1)
-    for a, b in runs(offsets):
+    for a, b in runs(offsets, CHUNK_BYTES // 2):
         words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         owner, bucket = words.ngrams(LENGTHS, BUCKETS)
         each = means(odds[bucket], owner, len(words.hashes))
