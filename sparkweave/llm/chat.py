@@ -13,7 +13,7 @@ END = "<|end|>\n"
 
 
 def _head(role: Column, perspective: Column, context: tuple[str, ...]) -> Column:
-    name = F.replace(F.coalesce(role, F.lit("unknown")), F.lit("<|"), F.lit("< |"))
+    name = F.replace(F.replace(F.coalesce(role, F.lit("unknown")), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
     user = F.concat(F.lit("<|user name="), name, F.lit("|>\n"))
     out = F.when(role == perspective, F.lit("<|assistant|>\n"))
     if context:
@@ -32,7 +32,8 @@ def rotate(conversations: DataFrame, chunk_turns: int = CHUNK_TURNS, context: tu
     Turns stand by (turn, role, text), nulls first. A row covers chunk_turns turn numbers, so that what is gathered for
     one is bounded by those and not by the conversation; chunk is turn div chunk_turns, and -1 for null turns. Rows that
     are repeated are rendered as often as they occur. A null text is empty; a null role is a user named unknown; rows with a null conv_id make up one
-    conversation. "<|" in a text or name is written "< |", so no text can forge a header. Conversations without a
+    conversation. "<|" in a text or name is written "< |", and "|>" in a name "| >", so
+    none can forge a header or end one early; a role called unknown looks as a null one does. Conversations without a
     participant, and empty tables, give no rows. Other columns are ignored.
     """
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -82,7 +83,7 @@ WITH t AS (
 ), parts AS (
   SELECT t.*, perspective, coalesce(role = perspective, false) AS own,
     CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
-      ELSE '<|user name=' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) END AS head,
+      ELSE '<|user name=' || replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') || '|>' || chr(10) END AS head,
     replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id
 ), placed AS (
