@@ -224,3 +224,32 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, kept (no passage in it), n_tokens, n_matched, and the matched items' ids parted by commas."""
     found = find(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark)
     return found.select("doc_id", (~F.col("contaminated")).alias("kept"), "contaminated", "n_tokens", "n_matched", F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"))
+
+
+#: op10_decontaminate by laying items beside texts wherever they share tokens enough.
+SQL = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), items AS (
+  SELECT item_id, row_number() OVER () AS i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
+), widths AS (
+  SELECT item_id, i, len(w) AS n, least(20, len(w)) AS width, CASE WHEN len(w) < 8 THEN len(w) ELSE least(20, len(w)) - least(20, len(w)) // 5 END AS need FROM items
+), x AS (
+  SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM docs
+), y AS (
+  SELECT i, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM items
+), diagonals AS (
+  SELECT x.r, y.i, x.p - y.p AS shift, list(y.p) AS same FROM x JOIN y ON x.t = y.t GROUP BY ALL HAVING count(*) >= 4 OR count(*) >= (SELECT min(need) FROM widths)
+), windows AS (
+  SELECT g.r, v.item_id, v.width, v.need, g.shift, g.same, unnest(range(greatest(1, 1 - g.shift), least(v.n, len(d.w) - g.shift) - v.width + 2)) AS q
+  FROM diagonals g JOIN widths v ON v.i = g.i JOIN docs d ON d.r = g.r WHERE len(g.same) >= v.need
+), found AS (
+  SELECT r, item_id, q + shift AS a, width FROM windows WHERE len(list_filter(same, lambda p: p >= q AND p < q + width)) >= need
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(a, a + width)) AS p FROM found) GROUP BY r
+), hit AS (
+  SELECT r, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items FROM found GROUP BY r
+)
+SELECT d.doc_id, h.r IS NULL AS kept, h.r IS NOT NULL AS contaminated, CAST(len(d.w) AS BIGINT) AS n_tokens, coalesce(c.n, 0) AS n_matched, coalesce(h.items, '') AS items
+FROM docs d LEFT JOIN hit h ON h.r = d.r LEFT JOIN covered c ON c.r = d.r"""

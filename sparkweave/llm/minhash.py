@@ -289,3 +289,29 @@ def _in_blocks(rest: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
         return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return map_arrow(cells.select((~F.col("kind") & (F.col("i") == F.col("j"))).alias("alone"), "members"), body, "a long, b long")
+
+
+#: op1_minhash_dedup by comparing all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM docs
+), shingles AS (
+  SELECT r, unnest(s) AS h FROM sets WHERE doc_id IS NOT NULL
+), shared AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.h = y.h AND x.r < y.r GROUP BY ALL
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shared JOIN sets x ON x.r = a JOIN sets y ON y.r = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+), either AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM sets WHERE doc_id IS NOT NULL
+  UNION
+  SELECT reach.doc_id, either.b FROM reach JOIN either ON reach.c = either.a
+), least AS (
+  SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, coalesce(l.component_id = s.doc_id, true) AS kept
+FROM sets s LEFT JOIN least l ON l.doc_id = s.doc_id"""

@@ -68,4 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": chat.SQL, "quality_rules_base": quality_rules.BASE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": minhash.SQL,
+    "op7_chat_format": chat.SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
+    "quality_rules_base": quality_rules.BASE_SQL,
+    "op10_decontaminate": decontaminate.SQL,
+}

@@ -408,3 +408,30 @@ def query(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.record_batch({"doc_id": batch.column(0), "n_bytes": np.diff(offsets), "n_removed": np.array(removed, np.int64), "n_spans": np.array(n_spans, np.int64), "kept_sha256": pa.array(digests, pa.string())})
 
     return map_arrow(found.select("doc_id", "text", "repeats"), body, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: op8_suffix_dedup by the md5 of the 200 bytes at every place.
+SQL = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS raw FROM documents
+), sized AS (
+  SELECT doc_id, r, hex(raw) AS x, octet_length(raw) AS n FROM docs
+), pieces AS (
+  SELECT r, c, n, substr(x, 2 * c + 1, 910) AS part FROM (SELECT r, x, n, unnest(range(0, n - 199, 256)) AS c FROM sized)
+), places AS (
+  SELECT r, c + i AS p, md5(substr(part, 2 * i + 1, 400)) AS h FROM (SELECT r, c, part, unnest(range(0, least(256, n - 199 - c))) AS i FROM pieces)
+), often AS (
+  SELECT h FROM places GROUP BY h HAVING count(*) > 1
+), starts AS (
+  SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM places SEMI JOIN often USING (h)
+), numbered AS (
+  SELECT r, p, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM starts
+), spans AS (
+  SELECT r, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, k
+), cut AS (
+  SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n FROM spans GROUP BY r
+)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(c.a), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN c.r IS NULL THEN d.x ELSE array_to_string(list_transform(range(0, len(c.a) + 1),
+    lambda i: substr(d.x, 2 * coalesce(c.b[i], 0) + 1, 2 * (coalesce(c.a[i + 1], d.n) - coalesce(c.b[i], 0)))), '') END)) AS kept_sha256
+FROM sized d LEFT JOIN cut c ON c.r = d.r"""
