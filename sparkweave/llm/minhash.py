@@ -13,8 +13,7 @@ from .common import CHUNK_BYTES, LOWER, Workspace, map_arrow, mix, prefix_hash,
 from .components import components
 
 PERMUTATIONS = 120
-#: Buckets up to this many members are compared pair by pair in a join, larger ones in blocks of about BLOCK shingles.
-SMALL = 32
+#: Shingles of a block, about, in which members of a bucket that are apart yet are compared.
 BLOCK = 200_000
 _rng = np.random.default_rng(1017)
 _A = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -168,8 +167,8 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
 
     Equal sets are put together first, and one of each goes on. Of the values of each signature, bands make buckets.
     In a bucket every member is compared with the smallest, which joins most of what belongs together; then, where a
-    bucket still holds several components, members of different ones: pair by pair if they are few, else in blocks, of
-    which only links are given out. A pair is compared by its sketches, and confirmed on its texts.
+    bucket still holds several components, members of different ones, on full sets, in blocks of which only links are
+    given out. A pair with the smallest is compared by its sketches first, and confirmed on its texts.
     Nothing is capped; buckets that hold one component are done. All tables on the way are written to the shared folder.
 
     Null and empty texts, and those without words, have 0 shingles and are linked with nothing. Rows with the same
@@ -215,14 +214,10 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     edges = edges.union(links)
     labels = work.save(components(edges, work, "rounds"), "labels")
     # what is apart yet among the other members of a bucket
-    rest = labelled(star.where("n > 2 AND rep <> hub").select("k", "n", "rep", "n_shingles"), labels, "rep", "label")
+    rest = labelled(star.where("n > 2 AND rep <> hub").select("k", "rep", "n_shingles"), labels, "rep", "label")
     apart = rest.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
     rest = work.save(rest.join(apart, "k", "left_semi"), "rest")
-    few = rest.where(F.col("n") <= SMALL)
-    near = F.expr(f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {sim.percent}")
-    pairs = few.alias("x").join(few.alias("y"), F.expr("x.k = y.k AND x.rep < y.rep AND x.label <> y.label") & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    links = _confirmed(work.save(fits(pairs), "pairs"), texts, sim).union(_in_blocks(rest.where(F.col("n") > SMALL), texts, sim))
-    links = work.save(links, "links")
+    links = work.save(_in_blocks(rest, texts, sim), "links")
     if not links.isEmpty():
         labels = work.save(components(edges.union(links), work, "rounds"), "labels")
 
