@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm import decontaminate, minhash, packing, suffix_dedup, toxicity
-from sparkweave.llm.common import Workspace, read_table
+from sparkweave.llm.common import Workspace, read_table, unused_name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +20,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, by five words a shingle and a similarity of 0.8, the document with the smallest id stays.
+    """Of each group of near-duplicates, by five words a shingle and a similarity of 0.8, one row stays.
 
-    Rows that share that id stay together; rows with a null id, and null and empty texts, are like nothing and stay. Extra
-    columns, whatever their names, stay as they are; an empty table stays empty.
+    It is the row with the smallest id; a null id is larger than any other, and of rows with one id one is taken. So
+    repeated rows, and copies with a null id, are near-duplicates as any other. Null and empty texts, and those without
+    words, are like nothing and stay. Extra columns, whatever their names, stay as they are; an empty table stays empty.
+
+    Rows are told apart by numbers, which are written with them, so that a task that runs again sees the same ones.
     """
-    found = minhash.near_duplicates(docs, minhash.Similarity(shingle=5, percent=80))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    row = unused_name(docs.columns, "row")
+    own = Workspace(spark).save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(own, minhash.Similarity(shingle=5, percent=80), id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    ids = own.select(row, F.col("doc_id").cast("long").alias("__id"))
+    first = found.join(ids, row).groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", row))[row].alias(row))
+    gone = found.join(first, row, "left_anti").select(row)
+    return own.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
