@@ -44,6 +44,26 @@ def test_stages(spark, tmp_path):
     assert not {400, *range(500, 560), *range(200, 210)} & ids(run) and {300, 301, 600, 601} <= ids(run)
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text, 1, "a"), (7, text, 2, "b"), (None, text + " z", 3, None), (None, "other words that stand alone here", 4, "c"), (None, "other words that stand alone here", 5, "c")]
+    rows += [(9, None, 6, "d"), (9, None, 7, "d"), (None, None, 8, "e"), (10, "", 9, "f"), (10, "", 10, "f"), (3, text, 11, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, __id string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    out = stage(spark, docs, None)
+    kept = {r.row for r in out.collect()}
+    assert out.columns == docs.columns and out.count() == len(kept)
+    assert kept - {4, 5} == {6, 7, 8, 9, 10, 11} and len(kept & {4, 5}) == 1
+    assert stage(spark, docs.limit(0), None).count() == 0
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry_has_one_query_for_each_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES if k != "quality_rules_base") == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
