@@ -49,6 +49,11 @@ def test_shortest_paths(spark):
         traversal.dijkstra(graph(spark, 2, [(0, 1)], [-1]), 0, "weight")
 
 
+def test_best_paths_have_any_number_of_edges(spark):
+    g = graph(spark, 21, [(i, i + 1) for i in range(20)] + [(0, 20)], [1] * 20 + [50])
+    assert column(traversal.dijkstra(g, 0, "weight"), "distance") == list(range(21))
+
+
 def test_depth_first():
     order = {0: [1, 2], 1: [3], 2: [3], 3: []}
     assert traversal.dfs(order, 0) == [(0, 0), (1, 1), (3, 2), (2, 1)]
