@@ -182,6 +182,32 @@ def test_betweenness_of_a_path(spark):
         assert column(edge, "betweenness", "edge_id") == pytest.approx([(i + 1) * (8 - i) for i in range(8)])
 
 
+def test_betweenness_writes_no_row_for_a_pivot_and_a_vertex(spark, monkeypatch):
+    written, fixed = [], centrality.Loop.fixed
+
+    def counted(loop, df, name):
+        written.append((out := fixed(loop, df, name)).count())
+        return out
+
+    monkeypatch.setattr(centrality.Loop, "fixed", counted)
+    n, tasks = 30, spark.sparkContext.defaultParallelism
+    vertex, _ = centrality.betweenness(graph(spark, n, [(i, i + 1) for i in range(n - 1)]))
+    assert column(vertex, "betweenness") == pytest.approx([i * (n - 1 - i) for i in range(n)])
+    assert len(written) == 2 and sum(written) <= n + 2 * n * tasks
+
+
+@pytest.mark.parametrize("arcs", [1, 7])
+def test_betweenness_in_small_pieces(monkeypatch, arcs):
+    import numpy as np
+
+    monkeypatch.setattr(centrality, "ARCS", arcs)
+    ends = np.array([(i, j) for i in range(6) for j in range(6) if i != j and (i + j) % 4])
+    ids, through, flow = centrality._dependencies(*ends.T, np.ones(len(ends), int), np.arange(6))
+    monkeypatch.setattr(centrality, "ARCS", 1 << 21)
+    whole = centrality._dependencies(*ends.T, np.ones(len(ends), int), np.arange(6))
+    assert list(ids) == list(range(6)) and through == pytest.approx(whole[1]) and flow == pytest.approx(whole[2])
+
+
 def test_block_models(spark):
     part = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "id long, grp long")
     d, u = graph(spark, 3, [(0, 1), (1, 0), (0, 2), (2, 2)]), graph(spark, 3, [(0, 1), (0, 2), (2, 2)]).undirected()
