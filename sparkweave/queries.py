@@ -457,8 +457,12 @@ def _file_round_trip(spark, sf_dir, module) -> DataFrame:
     g = D.user_seq(spark, sf_dir)
     g = Graph(g.slots(), g.edges, g.vertex_bound, g.edge_bound)
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-    write_bytes(spark, path, module.render(from_graph(g)))
-    found = read_graph(spark, path, module.parse)
+    if module is binary:
+        module.write(spark, g, path)
+        found = module.read(spark, path)
+    else:
+        write_bytes(spark, path, module.render(from_graph(g)))
+        found = read_graph(spark, path, module.parse)
     weight = F.col("weight").cast("double") if dict(found.edges.dtypes)["weight"] == "string" else F.col("weight")
     return found.edges.select("src", "dst", weight.alias("weight"))
 

@@ -74,18 +74,25 @@ def to_graph(spark: SparkSession, doc: Document) -> Graph:
 _KINDS = {"smallint": Kind.INT16, "int": Kind.INT32, "bigint": Kind.INT64, "double": Kind.DOUBLE, "string": Kind.STRING, "array<smallint>": Kind.VECTOR_INT16, "array<int>": Kind.VECTOR_INT32, "array<bigint>": Kind.VECTOR_INT64, "array<double>": Kind.VECTOR_DOUBLE, "array<string>": Kind.VECTOR_STRING, "binary": Kind.OBJECT}
 
 
+def columns_of(df: DataFrame, keys: list[str], domain: str) -> list[Column]:
+    """The properties of a frame, without values."""
+    columns = []
+    for f in df.schema.fields:
+        if f.name in keys:
+            continue
+        kind = Kind.of(f.metadata["kind"]) if "kind" in f.metadata else _KINDS.get(f.dataType.simpleString())
+        if kind is None:
+            raise FormatError(f"column {f.name} of type {f.dataType.simpleString()} is of no kind")
+        columns.append(Column(f.name, domain, kind, []))
+    return columns
+
+
 def from_graph(g: Graph) -> Document:
     """The document of a graph with ids from 0 on; rows come to the one writer in order, a partition at a time."""
     base = g if g.direction == "undirected" else g
 
     def rows(df: DataFrame, keys: list[str], domain: str) -> tuple[list[tuple], list[Column]]:
-        fields = [f for f in df.schema.fields if f.name not in keys]
-        columns = []
-        for f in fields:
-            kind = Kind.of(f.metadata["kind"]) if "kind" in f.metadata else _KINDS.get(f.dataType.simpleString())
-            if kind is None:
-                raise FormatError(f"column {f.name} of type {f.dataType.simpleString()} is of no kind")
-            columns.append(Column(f.name, domain, kind, []))
+        columns = columns_of(df, keys, domain)
         ends = []
         for r in df.orderBy(keys[0]).toLocalIterator():
             ends.append(tuple(r[k] for k in keys))
@@ -123,6 +130,46 @@ def read_graph(spark: SparkSession, path: str, parse: Callable[[bytes], Document
     return to_graph(spark, parse(bytes(rows[0][0])))
 
 
+def rendered(df: DataFrame, order: list[str], columns: list[Column], text: Callable[[dict[str, list]], bytes]) -> DataFrame:
+    """The bytes of a frame's rows in order, made by the executors: text gets some rows as lists by column, without nulls."""
+    zeros = {c.name: _zero(c.kind) for c in columns}
+
+    def body(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            for name, zero in zeros.items():
+                rows[name] = [zero if x is None else x for x in rows[name]]
+            yield pa.record_batch({"bytes": pa.array([text(rows)], pa.binary())})
+
+    return df.orderBy(*order).mapInArrow(body, "bytes binary")
+
+
+def write_parts(spark: SparkSession, path: str, parts: Iterable[bytes | DataFrame]) -> None:
+    """One file of bytes and of frames of them; these pass through the driver a partition at a time, and are not kept there."""
+
+    def each():
+        for part in parts:
+            if isinstance(part, bytes):
+                yield part
+            else:
+                yield from (r[0] for r in part.toLocalIterator(prefetchPartitions=True))
+
+    write_bytes(spark, path, each())
+
+
+def checked(g: Graph) -> tuple[DataFrame, DataFrame, list[Column], list[Column]]:
+    """What a file of the graph has: a row for every vertex slot, the edges, and the properties of both; checked as a document is."""
+    n, spark = g.vertex_bound, g.vertices.sparkSession
+    vc, ec = columns_of(g.vertices, ["id"], "vertex"), columns_of(g.edges, ["edge_id", "src", "dst"], "edge")
+    if not g.edges.where((F.least("src", "dst") < 0) | (F.greatest("src", "dst") >= n)).isEmpty():
+        raise FormatError("an edge ends at no vertex")
+    if vc and (have := g.vertices.count()) < n:
+        raise FormatError(f"property {vc[0].name} has {have} values of {n}")
+    return (g.vertices if vc else spark.range(n)), g.edges, vc, ec
+
+
 def write_bytes(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
     """One file by any path that Spark writes to."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -128,6 +128,26 @@ def test_files_of_frames(spark, tmp_path, module):
     assert read_edges(spark, path, module.parse).count() == 2
 
 
+@pytest.mark.parametrize("module", [binary])
+def test_files_pass_by_the_driver(spark, tmp_path, monkeypatch, module):
+    """The files are those of documents, with all kinds, and the driver neither makes nor parses one."""
+    kinds = [k for k in Kind if k.element or k is not Kind.LONG_DOUBLE] if module is binary else [Kind.INT32, Kind.STRING, Kind.DOUBLE]
+    doc = document(kinds)
+    doc.columns, doc.comment = [c for c in doc.columns if c.domain != "graph" and c.kind is not Kind.VECTOR_LONG_DOUBLE], ""
+    g = to_graph(spark, doc)
+    whole = b"".join(module.render(from_graph(g)))
+    for name in ("parse", "render"):
+        monkeypatch.delattr(module, name)
+    module.write(spark, g, f"file://{tmp_path}/g")
+    assert (tmp_path / "g").read_bytes() == whole
+    again = module.read(spark, f"file://{tmp_path}/g")
+    rows = lambda df, key: [tuple(r) for r in df.orderBy(key).collect()]
+    order = g.edges.orderBy("src", "edge_id") if module is binary else g.edges.orderBy("edge_id")
+    if module is binary:
+        assert again.edges.schema == g.edges.schema and rows(again.vertices, "id") == rows(g.vertices, "id")
+        assert [tuple(r)[1:] for r in again.edges.orderBy("edge_id").collect()] == [tuple(r)[1:] for r in order.collect()]
+
+
 def test_plain_edge_lists(spark, tmp_path):
     edges = spark.createDataFrame([(0, 5, 1), (1, 2, 3)], "edge_id long, src long, dst long")
     edgelist.write(edges, str(tmp_path / "e"), header=True)
