@@ -457,7 +457,7 @@ def _file_round_trip(spark, sf_dir, module) -> DataFrame:
     g = D.user_seq(spark, sf_dir)
     g = Graph(g.slots(), g.edges, g.vertex_bound, g.edge_bound)
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-    if module is binary:
+    if module is not graphml:
         module.write(spark, g, path)
         found = module.read(spark, path)
     else:

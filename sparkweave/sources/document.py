@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import Kind
 from ..graph import Graph
+from ..plans.superstep import Loop
 
 
 class FormatError(ValueError):
@@ -179,3 +183,82 @@ def write_bytes(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
             out.write(bytearray(part))
     finally:
         out.close()
+
+
+def named_ends(vertices: DataFrame, edges: DataFrame, name: str, otherwise: str) -> DataFrame:
+    """The edges with the names of their ends, __a and __b: by a column of the vertices, or else otherwise before the id."""
+    if name not in vertices.columns:
+        return edges.select("*", *[F.concat(F.lit(otherwise), F.col(k)).alias(to) for k, to in (("src", "__a"), ("dst", "__b"))])
+    for k, to in (("src", "__a"), ("dst", "__b")):
+        edges = edges.join(vertices.select(F.col("id").alias(k), F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(to)), k)
+    return edges
+
+
+@contextmanager
+def format_errors():
+    """Raises what a task said about a file's format as an error of this format."""
+    try:
+        yield
+    except Exception as e:
+        if said := re.search(r"FormatError: (.*)", str(e)):
+            raise FormatError(said[1]) from e
+        raise
+
+
+def read_streamed(spark: SparkSession, path: str, stream: Callable, decode: Callable[[Kind, str], object]) -> Graph:
+    """The graph of one text file, with its properties of vertices and edges.
+
+    Lines are read in parallel and put in order; one task goes over them in pieces and writes the edges as it finds them,
+    so that it holds the vertices alone. stream gets pieces of bytes and yields lists of rows (domain, at, src, dst, name,
+    properties); a vertex has its number in src, and a last row of the domain shape, in name, what is known at the end.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if len(found := lines.inputFiles()) != 1:
+        raise FormatError(f"{len(found)} files at {path}")
+    lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+    def body(batches):
+        import pyarrow as pa
+
+        for rows in stream(b"\n".join(batch.column(0).to_pylist()) + b"\n" for batch in batches):
+            domain, at, src, dst, name, props = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.record_batch({"domain": pa.array(domain, pa.string()), "at": pa.array(at, pa.int64()), "src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "name": pa.array(name, pa.string()), "props": pa.array([list(x.items()) for x in props], pa.map_(pa.string(), pa.string()))})
+
+    loop = Loop(spark)
+    with format_errors():
+        rows = loop.fixed(lines.repartition(1).sortWithinPartitions("start", "at").select("line").mapInArrow(body, "domain string, at long, src long, dst long, name string, props map<string,string>"), "rows")
+    shape = json.loads(rows.where("domain = 'shape'").first()["name"])
+
+    def frame(df: DataFrame, ids: list[str], domain: str) -> DataFrame:
+        own = [(name, Kind.of(kind), called) for d, name, kind, called in shape["columns"] if d == domain]
+
+        def typed(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                props = [dict(x) for x in batch.column("props").to_pylist()]
+                names = batch.column("name").to_pylist()
+                out = [batch.column(k) for k in ids]
+                for name, kind, called in own:
+                    of = kind.element or kind
+                    kept = arrow_type(of.spark)
+                    values = names if called else [decode(kind, p[name]) if name in p else _zero(kind) for p in props]
+                    out.append(pa.array(values, pa.list_(kept) if kind.element else kept))
+                yield pa.RecordBatch.from_arrays(out, [*ids, *(name for name, _, _ in own)])
+
+        found = df.select(*ids, "name", "props").mapInArrow(typed, ", ".join([*(f"{k} long" for k in ids), *(f"`{name}` {kind.spark}" for name, kind, _ in own)]))
+        return found.select(*ids, *[F.col(f"`{name}`").alias(name, metadata={"kind": kind.label}) for name, kind, _ in own])
+
+    vertices, edges = rows.where("domain = 'vertex'"), rows.where("domain = 'edge'").withColumnRenamed("at", "edge_id")
+    if shape["renumbered"]:
+        number = vertices.select("at", F.col("src").alias("number"))
+        for k in ("src", "dst"):
+            edges = edges.join(number.withColumnRenamed("at", k), k).drop(k).withColumnRenamed("number", k)
+    g = Graph(frame(vertices.select(F.col("src").alias("id"), "name", "props"), ["id"], "vertex"), frame(edges, ["edge_id", "src", "dst"], "edge"), shape["n"], shape["m"])
+    return g if shape["directed"] else g.undirected()
+
+
+def arrow_type(name: str):
+    import pyarrow as pa
+
+    return {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}[name]

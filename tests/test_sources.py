@@ -128,7 +128,7 @@ def test_files_of_frames(spark, tmp_path, module):
     assert read_edges(spark, path, module.parse).count() == 2
 
 
-@pytest.mark.parametrize("module", [binary])
+@pytest.mark.parametrize("module", [binary, dot])
 def test_files_pass_by_the_driver(spark, tmp_path, monkeypatch, module):
     """The files are those of documents, with all kinds, and the driver neither makes nor parses one."""
     kinds = [k for k in Kind if k.element or k is not Kind.LONG_DOUBLE] if module is binary else [Kind.INT32, Kind.STRING, Kind.DOUBLE]
@@ -146,6 +146,21 @@ def test_files_pass_by_the_driver(spark, tmp_path, monkeypatch, module):
     if module is binary:
         assert again.edges.schema == g.edges.schema and rows(again.vertices, "id") == rows(g.vertices, "id")
         assert [tuple(r)[1:] for r in again.edges.orderBy("edge_id").collect()] == [tuple(r)[1:] for r in order.collect()]
+    else:
+        monkeypatch.undo()
+        parsed = to_graph(spark, module.parse(whole))
+        assert again.edges.schema == parsed.edges.schema and again.vertices.schema == parsed.vertices.schema
+        assert rows(again.vertices, "id") == rows(parsed.vertices, "id") and rows(again.edges, "edge_id") == rows(parsed.edges, "edge_id")
+
+
+def test_dot_in_pieces():
+    text = 'strict digraph "g" {\n# a "note\n a -> {b; c} /* x\n y */ -> "d\n" + "e" [w=.5, l=<<b>\n</b>>];\n// -\n "f" -> a:p; b -> a -> b }\n'
+    assert len(list(dot._stream([text.encode()]))[0]) == 6
+    for at in range(len(text)):
+        for cut in (1, 5):
+            pieces = [text[:at], text[at : at + cut], text[at + cut :]]
+            assert list(dot._joined(dot._lexed(pieces))) == dot.tokens(text)
+    assert sum(list(dot._stream([text.encode()], 1)), []) == sum(list(dot._stream([c.encode() for c in text.splitlines(True)])), [])
 
 
 def test_plain_edge_lists(spark, tmp_path):
