@@ -128,7 +128,7 @@ def test_files_of_frames(spark, tmp_path, module):
     assert read_edges(spark, path, module.parse).count() == 2
 
 
-@pytest.mark.parametrize("module", [binary, dot])
+@pytest.mark.parametrize("module", [binary, dot, graphml])
 def test_files_pass_by_the_driver(spark, tmp_path, monkeypatch, module):
     """The files are those of documents, with all kinds, and the driver neither makes nor parses one."""
     kinds = [k for k in Kind if k.element or k is not Kind.LONG_DOUBLE] if module is binary else [Kind.INT32, Kind.STRING, Kind.DOUBLE]
@@ -153,6 +153,14 @@ def test_files_pass_by_the_driver(spark, tmp_path, monkeypatch, module):
         assert rows(again.vertices, "id") == rows(parsed.vertices, "id") and rows(again.edges, "edge_id") == rows(parsed.edges, "edge_id")
 
 
+def test_graphml_in_pieces():
+    text = b"""<graphml><key id="k" for="all" attr.name="w" attr.type="int"><default>7</default></key>
+    <graph edgedefault="directed"><node id="b"/><edge id="x" source="a" target="c"><data key="k">3</data></edge><edge source="a" target="b"/></graph></graphml>"""
+    whole = [x for rows in graphml._stream([text]) for x in rows]
+    assert [x[1:] for x in whole if x[0] == "edge"] == [(0, 1, 2, "x", {"w": "3"}), (1, 1, 0, "e1", {"w": "7"})]
+    assert all([x for rows in graphml._stream([text[:at], text[at:]]) for x in rows] == whole for at in range(len(text)))
+
+
 def test_dot_in_pieces():
     text = 'strict digraph "g" {\n# a "note\n a -> {b; c} /* x\n y */ -> "d\n" + "e" [w=.5, l=<<b>\n</b>>];\n// -\n "f" -> a:p; b -> a -> b }\n'
     assert len(list(dot._stream([text.encode()]))[0]) == 6
