@@ -208,6 +208,54 @@ def test_betweenness_in_small_pieces(monkeypatch, arcs):
     assert list(ids) == list(range(6)) and through == pytest.approx(whole[1]) and flow == pytest.approx(whole[2])
 
 
+def test_betweenness_writes_a_sum_once(spark, monkeypatch):
+    """Not for each task that has pivots: 29 edges, and of 30 vertices and 29 arcs one sum each."""
+    written, fixed = [], centrality.Loop.fixed
+
+    def counted(loop, df, name):
+        written.append((out := fixed(loop, df, name)).count())
+        return out
+
+    monkeypatch.setattr(centrality.Loop, "fixed", counted)
+    n = 30
+    _, edge = centrality.betweenness(graph(spark, n, [(i, i + 1) for i in range(n - 1)]).undirected())
+    assert column(edge, "betweenness", "edge_id") == pytest.approx([(i + 1) * (n - 1 - i) for i in range(n - 1)])
+    assert sum(written) <= 2 * (n - 1) + n
+
+
+def test_betweenness_of_loops_parallel_edges_and_lone_vertices(spark):
+    g = graph(spark, 6, [(0, 1), (1, 0), (1, 1), (1, 2), (2, 3), (0, 3), (3, 2)])
+    vertex, edge = centrality.betweenness(g.undirected())
+    assert column(vertex, "betweenness") == pytest.approx([0.5, 0.5, 0.5, 0.5, 0, 0])
+    assert column(edge, "betweenness", "edge_id") == pytest.approx([1, 1, 0, 2, 1, 2, 1])
+    vertex, edge = centrality.betweenness(graph(spark, 3, []).undirected())
+    assert column(vertex, "betweenness") == [0, 0, 0] and edge.count() == 0
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_betweenness_in_chunks_of_tasks(monkeypatch, both):
+    """Tasks with some of the pivots, one with none, add up to all; ids of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(centrality, "CHUNK", 4)
+    name = np.array([-(1 << 63), -5, 0, 3, 1 << 60, (1 << 63) - 1])
+    v, other = name[np.array([(i, j) for i in range(6) for j in range(6) if (i < j if both else i != j) and (i + j) % 4]).T]
+    m = np.arange(len(v)) % 3 + 1
+    arcs = pa.array([centrality._pack(v[k::2], other[k::2], m[k::2]) for k in (0, 1)], pa.binary())
+    rows = []
+    for block, pivots in enumerate([[], name[:2], name[2:]]):
+        held = pa.record_batch([pa.array([block] * (2 + len(pivots)), pa.int32()), pa.array([*arcs.to_pylist(), *[None] * len(pivots)], pa.binary()), pa.array([None, None, *pivots], pa.int64())], ["block", "arcs", "v"])
+        rows += centrality._of_pivots(iter([held]), both)
+    whole = pa.Table.from_batches(rows)
+    found = pa.concat_tables(centrality._added(whole.filter(pa.compute.equal(whole["chunk"], k))) for k in set(whole["chunk"].to_pylist())).to_pylist()
+    found = {(r["v"], r["other"]): r["part"] for r in found}
+    ids, through, flow = centrality._dependencies(*((np.concatenate(x) for x in ((v, other), (other, v), (m, m))) if both else (v, other, m)), name)
+    flow = flow[: len(v)] + flow[len(v) :] if both else flow
+    every = dict(zip(zip(ids.tolist(), ids.tolist()), through)) | dict(zip(zip(v.tolist(), other.tolist()), flow))
+    assert found == pytest.approx({k: x for k, x in every.items() if x})
+
+
 def test_block_models(spark):
     part = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "id long, grp long")
     d, u = graph(spark, 3, [(0, 1), (1, 0), (0, 2), (2, 2)]), graph(spark, 3, [(0, 1), (0, 2), (2, 2)]).undirected()
