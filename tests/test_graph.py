@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +224,51 @@ def test_betweenness_writes_a_sum_once(spark, monkeypatch):
     assert sum(written) <= 2 * (n - 1) + n
 
 
+@pytest.mark.parametrize("both", [False, True])
+def test_betweenness_of_more_paths_than_a_number_holds(both):
+    """40 edges side by side, 300 times over with two ways each: 80 ** 300 paths; as for single edges."""
+    import numpy as np
+
+    ends = np.array([(2 * i + a, 2 * i + 2 + b) for i in range(300) for a in (0, 1) for b in (0, 1)])
+    ends = np.concatenate([ends, ends[:, ::-1]]) if both else ends
+    one, many = (centrality._dependencies(*ends.T, np.full(len(ends), k), np.arange(602)) for k in (1, 40))
+    assert many[1] == pytest.approx(one[1]) and many[2] * 40 == pytest.approx(one[2])
+
+
+def test_betweenness_goes_once_from_where_ways_lead(monkeypatch):
+    """Pivots with one way out share the column of the vertex that they come to: 5 ways of 20 vertices that meet in 2 with a choice."""
+    import numpy as np
+
+    starts, alike = [], centrality._alike
+
+    def counted(begin, degree, target, pivots):
+        starts.extend(pivots)
+        return alike(begin, degree, target, pivots)
+
+    monkeypatch.setattr(centrality, "_alike", counted)
+    ways = [[*range(2 + 20 * k, 22 + 20 * k), k % 2] for k in range(5)]
+    arcs = [x for way in ways for x in zip(way, way[1:])] + [(0, 2), (0, 22), (0, 1), (1, 42), (1, 62), (1, 82)]
+    _, through, flow = centrality._dependencies(*np.array(arcs).T, np.ones(len(arcs), int), np.arange(102))
+    vertex, edge = Counter(), Counter()
+    after = {v: [(b, k) for k, (a, b) in enumerate(arcs) if a == v] for v in range(102)}
+    for s in range(102):
+        paths, seen = [(s, (), ())], {s}
+        while paths:
+            found = {}
+            for v, p, e in paths:
+                for b, k in after[v]:
+                    if b not in seen:
+                        found.setdefault(b, []).append((b, p + (b,), e + (k,)))
+            for rows in found.values():
+                for _, p, e in rows:
+                    vertex.update({x: 1 / len(rows) for x in p[:-1]})
+                    edge.update({k: 1 / len(rows) for k in e})
+            seen |= set(found)
+            paths = [row for rows in found.values() for row in rows]
+    assert through == pytest.approx([vertex[i] for i in range(102)]) and flow == pytest.approx([edge[k] for k in range(len(arcs))])
+    assert sorted(starts) == [0, 1]
+
+
 def test_betweenness_of_loops_parallel_edges_and_lone_vertices(spark):
     g = graph(spark, 6, [(0, 1), (1, 0), (1, 1), (1, 2), (2, 3), (0, 3), (3, 2)])
     vertex, edge = centrality.betweenness(g.undirected())
