@@ -269,6 +269,34 @@ def test_betweenness_goes_once_from_where_ways_lead(monkeypatch):
     assert sorted(starts) == [0, 1]
 
 
+@pytest.mark.parametrize("length", [11, 12])
+def test_betweenness_goes_once_for_a_chain_from_its_end(monkeypatch, length):
+    """Chains between 6 vertices that are neighbours of all: most of a chain's pivots share the columns of its ends; as from each alone, also in shares."""
+    import numpy as np
+
+    starts, alike = [], centrality._alike
+
+    def counted(begin, degree, target, pivots):
+        starts.append(len(pivots))
+        return alike(begin, degree, target, pivots)
+
+    monkeypatch.setattr(centrality, "_alike", counted)
+    ends, n = [(i, j) for i in range(6) for j in range(i)], 6
+    for a in range(6):
+        chain = [a, *range(n, n + length - 1), (a + 1) % 6]
+        ends, n = ends + list(zip(chain, chain[1:])), n + length - 1
+    v, other = np.array(ends).T
+    m = np.arange(len(v)) % 3 + 1
+    arcs = np.concatenate([v, other]), np.concatenate([other, v]), np.concatenate([m, m])
+    alone = [centrality._dependencies(*arcs, np.array([k])) for k in range(n)]
+    starts.clear()
+    whole = centrality._dependencies(*arcs, np.arange(n))
+    assert sum(starts) <= 6 + 6 * 2
+    shares = [centrality._dependencies(*arcs, np.arange(n), (k, 4)) for k in range(4)]
+    for which in (1, 2):
+        assert whole[which] == pytest.approx(sum(x[which] for x in alone)) and sum(x[which] for x in shares) == pytest.approx(whole[which])
+
+
 def test_betweenness_of_loops_parallel_edges_and_lone_vertices(spark):
     g = graph(spark, 6, [(0, 1), (1, 0), (1, 1), (1, 2), (2, 3), (0, 3), (3, 2)])
     vertex, edge = centrality.betweenness(g.undirected())
